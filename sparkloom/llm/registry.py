@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import warc
+from sparkloom.llm import licenses, toxicity, warc
 
-QUERIES = {"op10_warc": warc.op10_warc}
+QUERIES = {"op4_toxicity": toxicity.op4_toxicity, "op6_license_scan": licenses.op6_license_scan, "op10_warc": warc.op10_warc}
 ORACLES = {"op10_warc": warc.OP10_SQL}
