@@ -32,11 +32,11 @@ BIAS = -1
 @dataclass(frozen=True)
 class Ftrl:
     bits: int = 22
-    alpha: float = 0.2
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 0.5
-    l2: float = 1.0
-    epochs: int = 4
+    l1: float = 3.0
+    l2: float = 0.1
+    epochs: int = 3
     max_rows: int = 12_000
     seed: int = 17
 
