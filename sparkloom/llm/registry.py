@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import flac, licenses, substrings, toxicity, warc
+from sparkloom.llm import flac, jaccard, licenses, substrings, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_flac": flac.op2_flac,
     "op4_toxicity": toxicity.op4_toxicity,
     "op6_license_scan": licenses.op6_license_scan,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {"op10_warc": warc.OP10_SQL}

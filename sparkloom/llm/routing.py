@@ -43,50 +43,58 @@ def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
     return (((h >> U(32)) * U(n)) >> U(32)).astype(np.int64)
 
 
-def pack(k1: np.ndarray, k2: np.ndarray, doc: np.ndarray, at: np.ndarray, h: np.ndarray, buckets: int, width: int) -> Iterator[tuple[int, bytes]]:
-    """Entries in order of (doc, at) as (bucket, blob)."""
+def pack(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray | None, h: np.ndarray, b: np.ndarray, width: int) -> Iterator[tuple[int, bytes]]:
+    """Entries in order of (doc, at) as (bucket, blob). ``keys``: numbers of each document,
+    that go with its entries; ``at`` None: no positions; ``width``: 4, 5 or 8 bytes of hash."""
     if not len(h):
         return
-    b = bucket_of(h, buckets)
-    order = np.argsort(b.astype(np.uint16) if buckets < 1 << 16 else b, kind="stable")
-    b, doc, at = b[order], doc[order], at[order]
-    low = h[order].astype("<u4") if width == 4 else h[order].astype("<u8")
+    order = np.argsort(b.astype(np.uint16) if b.max() < 1 << 16 else b, kind="stable")
+    b, doc, h = b[order], doc[order], h[order]
     new = np.r_[True, (np.diff(doc) != 0) | (np.diff(b) != 0)]
-    gap = at.copy()
-    gap[1:] -= at[:-1]
-    gap[new] = at[new]
-    long = gap // 255
-    ends = np.cumsum(long + 1)
-    deltas = np.full(int(ends[-1]), 255, np.uint8)
-    deltas[ends - 1] = gap % 255
     cuts = np.r_[np.flatnonzero(np.r_[True, np.diff(b) != 0]), len(b)]
     runs = np.flatnonzero(new)
     counts = np.diff(np.r_[runs, len(b)]).astype("<u4")
     run_at = np.searchsorted(runs, cuts)
-    byte_at = np.r_[0, ends][cuts]
-    a1, a2 = k1[doc[runs]].astype("<i8"), k2[doc[runs]].astype("<i8")
+    parts = [(h.astype("<u8") if width == 8 else h.astype("<u4"), cuts)]
+    if width == 5:
+        parts.append(((h >> U(32)).astype(np.uint8), cuts))
+    if at is not None:
+        at = at[order]
+        gap = at.copy()
+        gap[1:] -= at[:-1]
+        gap[new] = at[new]
+        ends = np.cumsum(gap // 255 + 1)
+        deltas = np.full(int(ends[-1]), 255, np.uint8)
+        deltas[ends - 1] = gap % 255
+        parts.append((deltas, np.r_[0, ends][cuts]))
+    own = [k[doc[runs]].astype("<i8") for k in keys]
     for i in range(len(cuts) - 1):
-        r, e, d = slice(run_at[i], run_at[i + 1]), slice(cuts[i], cuts[i + 1]), slice(byte_at[i], byte_at[i + 1])
-        yield int(b[cuts[i]]), b"".join((struct.pack("<I", r.stop - r.start), a1[r].tobytes(), a2[r].tobytes(), counts[r].tobytes(), low[e].tobytes(), deltas[d].tobytes()))
+        r = slice(run_at[i], run_at[i + 1])
+        yield int(b[cuts[i]]), b"".join((struct.pack("<I", r.stop - r.start), *(k[r].tobytes() for k in own), counts[r].tobytes(), *(x[c[i] : c[i + 1]].tobytes() for x, c in parts)))
 
 
-def unpack(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """k1 and k2 of each run, and run, position and hash of each entry."""
-    k1, k2, counts, hashes, at = [], [], [], [], []
+def unpack(blobs: list[bytes], n_keys: int, width: int, placed: bool = True) -> tuple[list[np.ndarray], np.ndarray, np.ndarray | None, np.ndarray]:
+    """The keys of each run, and run, position and hash (its low bytes) of each entry."""
+    keys, counts, hashes, at = [[] for _ in range(n_keys)], [], [], []
     for blob in blobs:
         n = struct.unpack_from("<I", blob)[0]
-        k1.append(np.frombuffer(blob, "<i8", n, 4))
-        k2.append(np.frombuffer(blob, "<i8", n, 4 + 8 * n))
-        c = np.frombuffer(blob, "<u4", n, 4 + 16 * n)
-        m = int(c.sum())
-        hashes.append(np.frombuffer(blob, "<u4" if width == 4 else "<u8", m, 4 + 20 * n))
-        deltas = np.frombuffer(blob, np.uint8, -1, 4 + 20 * n + width * m)
-        total = np.cumsum(deltas, dtype=np.int64)[deltas < 255]
-        first = np.cumsum(c) - c
-        at.append(total - np.repeat(np.where(first > 0, total[first - 1], 0), c))
+        for j in range(n_keys):
+            keys[j].append(np.frombuffer(blob, "<i8", n, 4 + 8 * n * j))
+        base = 4 + 8 * n * n_keys
+        c = np.frombuffer(blob, "<u4", n, base)
+        m, base = int(c.sum()), base + 4 * n
+        h = np.frombuffer(blob, "<u8" if width == 8 else "<u4", m, base)
+        if width == 5:
+            h = np.frombuffer(blob, np.uint8, m, base + 4 * m).astype(np.uint64) << U(32) | h
+        hashes.append(h)
+        if placed:
+            total = np.cumsum(np.frombuffer(blob, np.uint8, -1, base + width * m), dtype=np.int64)
+            total = total[np.frombuffer(blob, np.uint8, -1, base + width * m) < 255]
+            first = np.cumsum(c) - c
+            at.append(total - np.repeat(np.where(first > 0, total[first - 1], 0), c))
         counts.append(c)
     counts_ = np.concatenate(counts)
-    return np.concatenate(k1), np.concatenate(k2), np.repeat(np.arange(len(counts_)), counts_), np.concatenate(at), np.concatenate(hashes)
+    return [np.concatenate(k) for k in keys], np.repeat(np.arange(len(counts_)), counts_), np.concatenate(at) if placed else None, np.concatenate(hashes)
 
 
 def hit_rows(k1: np.ndarray, k2: np.ndarray, run: np.ndarray, at: np.ndarray) -> pa.Table:
@@ -103,7 +111,7 @@ def hits(entries: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray
     picks among all entries of a bucket, as little-endian 32-bit integers."""
 
     def run(table: pa.Table) -> pa.Table:
-        k1, k2, owner, at, h = unpack(table.column("blob").to_pylist(), width)
+        (k1, k2), owner, at, h = unpack(table.column("blob").to_pylist(), 2, width)
         picked = np.flatnonzero(judge(at, h))
         return hit_rows(k1, k2, owner[picked], at[picked])
 

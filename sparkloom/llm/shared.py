@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +25,34 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def setting(spark: SparkSession, **conf: str):
+    """Settings that hold for the jobs started within."""
+    names = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Shuffle files of a job whose result is written are of no more use.
+CLEANUP = {"spark__sql__classic__shuffleDependency__fileCleanup__enabled": "true"}
+
+
 def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts the
     lineage, survives lost executors, and pins rows that later steps rely on."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    with setting(spark, **CLEANUP):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bytewords import SPACED, find_words, slices, spread, text_buffer, windows
-from sparkloom.llm.routing import ROWS, buckets_for, grouped, hits, pack, with_keys
+from sparkloom.llm.routing import ROWS, bucket_of, buckets_for, grouped, hits, pack, with_keys
 from sparkloom.llm.shared import table
 
 WORDS_PER_BYTE = 0.18
 
 
-def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False)
+def _keys(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [batch.column("k1").to_numpy(zero_copy_only=False), batch.column("k2").to_numpy(zero_copy_only=False)]
 
 
 def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -51,7 +51,7 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 16 <<
                 # a document that is shorter than a window has none to look for
                 long = words.counts()[doc] >= window
                 place, h, doc = place[long], h[long], doc[long]
-                found = list(pack(*_keys(batch), doc, place - words.first[doc], h, buckets, 4))
+                found = list(pack(_keys(batch), doc, place - words.first[doc], h, bucket_of(h, buckets), 4))
                 if found:
                     yield _blobs(found)
 
@@ -89,7 +89,7 @@ def repeats(docs: DataFrame, found: DataFrame, window: int, buckets: int, batch_
                 keep = near[place]
                 place, h = place[keep], h[keep]
                 doc = words.doc_of()[place]
-                packed = list(pack(*_keys(batch), doc, place - words.first[doc], h, buckets, 8))
+                packed = list(pack(_keys(batch), doc, place - words.first[doc], h, bucket_of(h, buckets), 8))
                 if packed:
                     yield _blobs(packed)
 
