@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import flac, jaccard, licenses, substrings, toxicity, warc
+from sparkloom.llm import flac, jaccard, licenses, substrings, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_flac": flac.op2_flac,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_token_ids": tokenids.op5_token_ids,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op10_warc": warc.op10_warc,
