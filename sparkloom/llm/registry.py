@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import flac, jaccard, licenses, substrings, tokenids, toxicity, warc
+from sparkloom.llm import flac, jaccard, licenses, lines, substrings, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_ids": tokenids.op5_token_ids,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_warc": warc.op10_warc,
 }
 ORACLES = {"op10_warc": warc.OP10_SQL}
