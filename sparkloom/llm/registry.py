@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.llm import flac, jaccard, licenses, lines, substrings, tokenids, toxicity, warc
+from sparkloom.llm import decontaminate, flac, jaccard, licenses, lines, substrings, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_flac": flac.op2_flac,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_token_ids": tokenids.op5_token_ids,
     "op6_license_scan": licenses.op6_license_scan,
