@@ -4,7 +4,7 @@
 2. For each shingle (token), in how many classes it occurs; a class with too few shared
    tokens to reach the threshold is left out, with nothing lost (``shared_tokens``).
 3. Groups: similar classes share the least hash of their sets; each is compared with the
-   first of its group and joins it if they link, in a few rounds over what is left. So a
+   most central of its group and joins it if they link, in a few rounds over what is left. So a
    group is always a set of classes that links connect (``grouped``).
 4. The matrix holds which tokens occur in which group's union, each pair once. A class
    probes it with its rarest tokens, as many as any linked pair must share one of; the
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.bytewords import SPACED, U, find_words, mix, slices, text_buffer, windows
 from sparkloom.llm.components import components
-from sparkloom.llm.routing import ROWS, bucket_of, buckets_for, pack, unpack
+from sparkloom.llm.routing import ROWS, blob_table, bucket_of, buckets_for, by_document, pack, regroup, unpack
 from sparkloom.llm.shared import stored, table
 
 TOKENS_PER_BYTE = 0.18
@@ -76,7 +76,7 @@ def _parts(batch: pa.RecordBatch, batch_bytes: int) -> Iterator[pa.RecordBatch]:
             yield part.slice(low, 4096)
 
 
-def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str, batch_bytes: int = 8 << 20) -> DataFrame:
+def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str, batch_bytes: int = 6 << 20) -> DataFrame:
     """(doc_id, n, k1, k2): the size and the hash of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +93,7 @@ def need(n, threshold: Fraction):
     return -(-n * threshold.numerator // threshold.denominator)
 
 
-def shared_tokens(docs: DataFrame, size: int, text_col: str, buckets: int, threshold: Fraction, batch_bytes: int = 16 << 20) -> DataFrame:
+def shared_tokens(docs: DataFrame, size: int, text_col: str, buckets: int, threshold: Fraction, batch_bytes: int = 6 << 20) -> DataFrame:
     """(k1, k2, n, tokens): for each class that has enough of them, its tokens that other
     classes have too, as 64-bit integers, the rarest first."""
 
@@ -122,21 +122,17 @@ def shared_tokens(docs: DataFrame, size: int, text_col: str, buckets: int, thres
         rarity = np.minimum(np.log2(many[picked]) * 4, 255).astype(np.uint64)
         token = rarity << U(56) | U(key[0].as_py() & 0xFFFF) << U(40) | h[picked]
         run = run[picked]
-        cut = np.flatnonzero(np.r_[True, np.diff(run) != 0]) if len(run) else np.zeros(0, np.int64)
-        raw, ends, which = token.astype("<u8").tobytes(), np.r_[cut[1:], len(run)], run[cut]
-        return pa.table({"k1": k1[which], "k2": k2[which], "n": n[which], "tokens": pa.array([raw[8 * a : 8 * b] for a, b in zip(cut.tolist(), ends.tolist())], pa.binary())})
+        return blob_table(list(pack([k1, k2, n], run, None, token, regroup(k1, buckets)[run], 8)))
 
-    entries = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, ROWS)
-    parts = entries.groupBy("bucket").applyInArrow(count, "k1 long, k2 long, n long, tokens binary")
-    whole = parts.groupBy("k1", "k2").agg(F.max("n").alias("n"), F.sum(F.octet_length("tokens")).alias("have"), F.collect_list("tokens").alias("parts"))
-    enough = whole.where(F.col("have") >= 8 * F.ceil(F.col("n") * threshold.numerator / threshold.denominator - 1e-6))
-
-    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = [np.sort(np.frombuffer(b"".join(x), "<u8")).tobytes() for x in batch.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cells, pa.binary())], ["k1", "k2", "n", "tokens"])
+    def gather(group: pa.Table) -> pa.Table:
+        keys, run, _, token = unpack(group.column("blob").to_pylist(), 3, 8, False)
+        (k1, k2, n), cells = by_document(keys, run, token)
+        enough = np.array([len(c) for c in cells], np.int64) >= need(n, threshold)
+        kept = [c.astype("<u8").tobytes() for c, e in zip(cells, enough.tolist()) if e]
+        return pa.table({"k1": k1[enough], "k2": k2[enough], "n": n[enough], "tokens": pa.array(kept, pa.binary())})
 
-    return enough.select("k1", "k2", "n", "parts").mapInArrow(order, "k1 long, k2 long, n long, tokens binary")
+    entries = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(emit, ROWS)
+    return entries.groupBy("bucket").applyInArrow(count, ROWS).groupBy("bucket").applyInArrow(gather, "k1 long, k2 long, n long, tokens binary")
 
 
 def _tokens(cell: bytes) -> np.ndarray:
@@ -158,19 +154,22 @@ def linked(pairs: DataFrame, threshold: Fraction) -> DataFrame:
 
 
 def first_of_groups(sets: DataFrame, threshold: Fraction, rounds: int) -> DataFrame:
-    """Links (a, b) from classes to the first of the group that their least hash puts them
-    in; each round, with another hash, takes those that are linked to nothing before them."""
+    """Links (a, b) from classes to the most central one of the group that their least hash
+    puts them in: that whose tokens are the commonest, the likeliest to be what the others
+    were made from. Each round, with another hash, takes those not yet linked."""
     links = None
     for i in range(rounds):
 
         def key(batches: Iterator[pa.RecordBatch], salt: np.uint64 = U(2 * i + 1)) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                least = [int(mix(_tokens(x.as_py()) * salt + salt).min().view(np.int64)) for x in batch.column("tokens")]
-                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), *batch.columns], ["key", "a", "n", "tokens"])
+                cells = [_tokens(x.as_py()) for x in batch.column("tokens")]
+                least = [int(mix(c * salt + salt).min().view(np.int64)) for c in cells]
+                central = [int((c >> U(56)).sum()) * 1000 // int(n) for c, n in zip(cells, batch.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(least, pa.int64()), pa.array(central, pa.int64()), *batch.columns], ["key", "central", "a", "n", "tokens"])
 
         left = sets if links is None else sets.join(links.select(F.col("a").alias("sid")), "sid", "left_anti")
-        keyed = left.select(F.col("sid").alias("a"), "n", "tokens").mapInArrow(key, "key long, a long, n long, tokens binary")
-        groups = keyed.groupBy("key").agg(F.min("a").alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
+        keyed = left.select(F.col("sid").alias("a"), "n", "tokens").mapInArrow(key, "key long, central long, a long, n long, tokens binary")
+        groups = keyed.groupBy("key").agg(F.max(F.struct("central", "a"))["a"].alias("b"), F.count(F.lit(1)).alias("members")).where("members > 1").drop("members")
         firsts = groups.join(left.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2")), "b")
         new = linked(keyed.join(firsts, "key").where("a <> b"), threshold)
         links = stored(new if links is None else links.union(new), "links")
@@ -217,7 +216,7 @@ def cross_links(sets: DataFrame, groups: DataFrame, threshold: Fraction) -> Data
     return stored(linked(queries.join(members, "g2").where(close), threshold), "cross")
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text", rounds: int = 5) -> DataFrame:
     """(doc_id, n_shingles, k1, k2, component_id) for every row; rows with equal (k1, k2)
     are of one class."""
     threshold = Fraction(threshold)

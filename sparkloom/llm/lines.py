@@ -37,11 +37,16 @@ def _key(n: Column, i: int, text: Column) -> Column:
     return F.xxhash64(n, F.lit(i), text)
 
 
+def _part(line: Column, start: Column, size: Column) -> Column:
+    """Characters of a line given as UTF-32, where any is found at once."""
+    return F.substr(line, (start - 1) * 4 + 1, size * 4)
+
+
 def index_keys(line: Column, n: Column, threshold: int) -> Column:
     out = []
     for i in range(threshold + 1):
         start, size = _segment(n, i, threshold + 1)
-        out.append(_key(n, i, F.substr(line, start, size)))
+        out.append(_key(n, i, _part(line, start, size)))
     return F.array(*out)
 
 
@@ -57,7 +62,7 @@ def probe_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column
             for off in range(low, high + 1):
                 at = start + off
                 fits = (at >= 1) & (at + size - 1 <= n) & (size_of >= min_near)
-                out.append(F.when(fits, _key(size_of, i, F.substr(line, at, size))))
+                out.append(F.when(fits, _key(size_of, i, _part(line, at, size))))
     return F.array_compact(F.array(*out))
 
 
@@ -94,9 +99,13 @@ def within(x: Column, y: Column, threshold: int) -> Column:
 def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
     """(lid): lines that an earlier one is near to. ``lines``: (lid, first, line, n), distinct."""
     near = lines.where(F.col("n") >= min_near)
-    index = near.select("lid", F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probes = near.select(F.col("lid").alias("lid2"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), threshold, min_near))).alias("key"))
+    wide = near.select("lid", "n", F.encode("line", "UTF-32").alias("line"))
+    index = wide.select("lid", F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
+    probes = wide.select(F.col("lid").alias("lid2"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), threshold, min_near))).alias("key"))
     pairs = index.join(probes, "key").where("lid <> lid2").select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
+    pairs = stored(pairs, "pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
+    near = stored(near.join(wanted, "lid", "left_semi"), "wanted")
     one = near.select(F.col("lid").alias("a"), F.col("first").alias("first1"), F.col("line").alias("x"))
     two = near.select(F.col("lid").alias("b"), F.col("first").alias("first2"), F.col("line").alias("y"))
     found = stored(pairs.join(one, "a").join(two, "b").repartition("a", "b").withColumns({"x": F.split("x", ""), "y": F.split("y", "")}), "pairs").where(within(F.col("x"), F.col("y"), threshold))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.bytewords import U
+from sparkloom.llm.bytewords import U, mix
 
 ROWS = "bucket int, blob binary"
 HITS = "k1 long, k2 long, at binary"
@@ -88,41 +88,67 @@ def unpack(blobs: list[bytes], n_keys: int, width: int, placed: bool = True) ->
             h = np.frombuffer(blob, np.uint8, m, base + 4 * m).astype(np.uint64) << U(32) | h
         hashes.append(h)
         if placed:
-            total = np.cumsum(np.frombuffer(blob, np.uint8, -1, base + width * m), dtype=np.int64)
-            total = total[np.frombuffer(blob, np.uint8, -1, base + width * m) < 255]
+            deltas = np.frombuffer(blob, np.uint8, -1, base + width * m)
+            total = np.cumsum(deltas, dtype=np.int64)[deltas < 255]
             first = np.cumsum(c) - c
-            at.append(total - np.repeat(np.where(first > 0, total[first - 1], 0), c))
+            at.append((total - np.repeat(np.where(first > 0, total[first - 1], 0), c)).astype(np.int32))
         counts.append(c)
     counts_ = np.concatenate(counts)
-    return [np.concatenate(k) for k in keys], np.repeat(np.arange(len(counts_)), counts_), np.concatenate(at) if placed else None, np.concatenate(hashes)
+    return [np.concatenate(k) for k in keys], np.repeat(np.arange(len(counts_), dtype=np.int32), counts_), np.concatenate(at) if placed else None, np.concatenate(hashes)
 
 
-def hit_rows(k1: np.ndarray, k2: np.ndarray, run: np.ndarray, at: np.ndarray) -> pa.Table:
-    """A row for each run that has hits; entries in order of run."""
-    first = np.flatnonzero(np.r_[True, np.diff(run) != 0]) if len(run) else np.zeros(0, np.int64)
-    raw, ends = at.astype("<u4").tobytes(), np.r_[first[1:], len(run)]
-    cells = [raw[4 * a : 4 * b] for a, b in zip(first.tolist(), ends.tolist())]
-    which = run[first]
-    return pa.table({"k1": pa.array(k1[which], pa.int64()), "k2": pa.array(k2[which], pa.int64()), "at": pa.array(cells, pa.binary())})
+def regroup(k1: np.ndarray, buckets: int) -> np.ndarray:
+    """Where what is found out about a document meets again."""
+    return bucket_of(mix(k1.view(np.uint64)), buckets)
 
 
-def hits(entries: DataFrame, width: int, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def blob_table(found: list[tuple[int, bytes]]) -> pa.Table:
+    return pa.table({"bucket": pa.array([b for b, _ in found], pa.int32()), "blob": pa.array([x for _, x in found], pa.binary())})
+
+
+def by_document(keys: list[np.ndarray], run: np.ndarray, value: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The keys of each document (named by the first two) and its sorted values."""
+    order = np.lexsort((value, keys[1][run], keys[0][run]))
+    run, value = run[order], value[order]
+    a, b = keys[0][run], keys[1][run]
+    cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(run) else np.zeros(0, np.int64)
+    return [k[run[cut]] for k in keys], np.split(value, cut[1:]) if len(cut) else []
+
+
+def hits(entries: DataFrame, width: int, buckets: int, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(k1, k2, at) for each document: positions of the entries that ``judge(at, hash)``
     picks among all entries of a bucket, as little-endian 32-bit integers."""
 
-    def run(table: pa.Table) -> pa.Table:
-        (k1, k2), owner, at, h = unpack(table.column("blob").to_pylist(), 2, width)
+    def pick(table: pa.Table) -> pa.Table:
+        keys, owner, at, h = unpack(table.column("blob").to_pylist(), 2, width)
         picked = np.flatnonzero(judge(at, h))
-        return hit_rows(k1, k2, owner[picked], at[picked])
+        to = regroup(keys[0], buckets)[owner[picked]]
+        return blob_table(list(pack(keys, owner[picked], None, at[picked].astype(np.uint64), to, 4)))
+
+    def gather(table: pa.Table) -> pa.Table:
+        keys, owner, _, at = unpack(table.column("blob").to_pylist(), 2, 4, False)
+        (k1, k2), cells = by_document(keys, owner, at)
+        return pa.table({"k1": k1, "k2": k2, "at": pa.array([c.tobytes() for c in cells], pa.binary())})
 
-    found = entries.groupBy("bucket").applyInArrow(run, HITS)
-    return found.groupBy("k1", "k2").agg(F.collect_list("at").alias("at"))
+    return entries.groupBy("bucket").applyInArrow(pick, ROWS).groupBy("bucket").applyInArrow(gather, HITS)
 
 
-def grouped(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grouped(h: np.ndarray) -> tuple[np.ndarray, int]:
     """For each entry, the number of its hash among the distinct ones, and how many those are."""
-    order = np.argsort(h, kind="stable") if h.dtype.itemsize > 4 else (np.sort(h.astype(np.uint64) << U(32) | np.arange(len(h), dtype=np.uint64)) & U(0xFFFFFFFF)).astype(np.int64)
-    s = h[order]
-    group = np.empty(len(h), np.int64)
-    group[order] = np.cumsum(np.r_[False, s[1:] != s[:-1]]) if len(h) else 0
-    return group, int(group.max()) + 1 if len(h) else 0
+    if not len(h):
+        return np.zeros(0, np.int32), 0
+    if h.dtype.itemsize > 4:
+        order = np.argsort(h, kind="stable").astype(np.int32)
+        s = h[order]
+        new = s[1:] != s[:-1]
+    else:  # hash and entry sort as one number
+        s = h.astype(np.uint64) << U(32)
+        s |= np.arange(len(h), dtype=np.uint64)
+        s.sort()
+        order = (s & U(0xFFFFFFFF)).astype(np.int32)
+        s >>= U(32)
+        new = s[1:] != s[:-1]
+    del s
+    group = np.zeros(len(h), np.int32)
+    group[order[1:]] = np.cumsum(new, dtype=np.int32)
+    return group, int(group[order[-1]]) + 1

@@ -38,7 +38,7 @@ def _blobs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])
 
 
-def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 16 << 20) -> DataFrame:
+def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 6 << 20) -> DataFrame:
     """(k1, k2, at): where a rolling block occurs as a fixed block at another place."""
     block = (window + 1) // 2
 
@@ -60,23 +60,23 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 16 <<
         fixed = at % block == 0
         return np.bincount(group[fixed], minlength=n)[group] > fixed
 
-    return hits(docs.select("k1", "k2", "text").mapInArrow(emit, ROWS), 4, judge)
+    return hits(docs.select("k1", "k2", "text").mapInArrow(emit, ROWS), 4, buckets, judge)
 
 
-def _marks(cells: list[list[bytes] | None], n: np.ndarray, reach: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
+def _marks(cells: list[bytes | None], n: np.ndarray, reach: int, back: bool) -> tuple[np.ndarray, np.ndarray]:
     """Words (of all documents in a row) within ``reach`` before or after given positions."""
     first = np.r_[0, np.cumsum(n)]
     step = np.zeros(int(first[-1]) + 1, np.int64)
     for d, cell in enumerate(cells):
         if cell:
-            at = np.frombuffer(b"".join(cell), "<u4").astype(np.int64)
+            at = np.frombuffer(cell, "<u4").astype(np.int64)
             low, high = (np.maximum(at - reach + 1, 0), at + 1) if back else (at, np.minimum(at + reach, n[d]))
             np.add.at(step, first[d] + low, 1)
             np.add.at(step, first[d] + high, -1)
     return np.cumsum(step[:-1]) > 0, first
 
 
-def repeats(docs: DataFrame, found: DataFrame, window: int, buckets: int, batch_bytes: int = 8 << 20) -> DataFrame:
+def repeats(docs: DataFrame, found: DataFrame, window: int, buckets: int, batch_bytes: int = 4 << 20) -> DataFrame:
     """(k1, k2, at): where windows start that start at another place too."""
     block = (window + 1) // 2
 
@@ -97,14 +97,14 @@ def repeats(docs: DataFrame, found: DataFrame, window: int, buckets: int, batch_
         group, n = grouped(h)
         return np.bincount(group, minlength=n)[group] > 1
 
-    return hits(docs.join(found, ["k1", "k2"]).select("k1", "k2", "text", "at").mapInArrow(emit, ROWS), 8, judge)
+    return hits(docs.join(found, ["k1", "k2"]).select("doc_id", "text", "k1", "k2", "at").mapInArrow(emit, ROWS), 8, buckets, judge)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, spans, kept): ``spans`` are the removed
     runs of words (start, end), ``kept`` the words left, joined by one space."""
     buckets = buckets_for(docs, text_col, WORDS_PER_BYTE)
-    keyed = with_keys(docs, id_col, text_col)
+    keyed = with_keys(docs, id_col, text_col)  # shuffled by (k1, k2) once: both joins below read the same exchange
     starts = repeats(keyed, anchors(keyed, window, buckets), window, buckets)
     id_type = keyed.schema["doc_id"].dataType.simpleString()
 
