@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.bytewords import SPACED, U, find_words, mix, slices, text_buffer, windows
 from sparkloom.llm.components import components
-from sparkloom.llm.routing import ROWS, blob_table, bucket_of, buckets_for, by_document, pack, regroup, unpack
+from sparkloom.llm.routing import ROWS, blob_table, bucket_of, buckets_for, by_document, pack, regroup, unpack, with_keys
 from sparkloom.llm.shared import stored, table
 
 TOKENS_PER_BYTE = 0.18
@@ -77,15 +77,16 @@ def _parts(batch: pa.RecordBatch, batch_bytes: int) -> Iterator[pa.RecordBatch]:
 
 
 def signed_documents(docs: DataFrame, size: int, id_col: str, text_col: str, batch_bytes: int = 6 << 20) -> DataFrame:
-    """(doc_id, n, k1, k2): the size and the hash of each row's set."""
+    """(doc_id, r1, r2, n, k1, k2): each row's id and key, the size and the hash of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in _parts(whole, batch_bytes):
                 n, k1, k2 = _signatures(batch.num_rows, *shingle_sets(batch.column("text"), size))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2)], ["doc_id", "n", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n, pa.int64()), pa.array(k1), pa.array(k2)], ["doc_id", "r1", "r2", "n", "k1", "k2"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, n long, k1 long, k2 long")
+    rows = with_keys(docs, id_col, text_col).select("text", "doc_id", F.col("k1").alias("r1"), F.col("k2").alias("r2"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, r1 long, r2 long, n long, k1 long, k2 long")
 
 
 def need(n, threshold: Fraction):
@@ -217,8 +218,8 @@ def cross_links(sets: DataFrame, groups: DataFrame, threshold: Fraction) -> Data
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text", rounds: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, component_id) for every row; rows with equal (k1, k2)
-    are of one class."""
+    """(doc_id, r1, r2, n_shingles, k1, k2, component, component_id) for every row: the key
+    of the row (``with_keys``), its class, and what names its component (null: alone)."""
     threshold = Fraction(threshold)
     signed = stored(signed_documents(docs, size, id_col, text_col), "signed")
     buckets = buckets_for(docs, text_col, TOKENS_PER_BYTE)
@@ -231,9 +232,25 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fra
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
     own = sets.select("sid", "k1", "k2").join(groups.withColumnRenamed("node", "sid"), "sid").join(classes, ["k1", "k2"])
     least = own.groupBy("component").agg(F.min("least").alias("least"))
-    joined = stored(own.drop("least").join(least, "component").select("k1", "k2", "least"), "joined")
-    final = classes.join(joined.withColumnRenamed("least", "linked"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("linked", "least").alias("component_id"))
-    return signed.where("n > 0").join(final, ["k1", "k2"]).select("doc_id", F.col("n").alias("n_shingles"), "k1", "k2", "component_id").union(signed.where("n = 0").select("doc_id", "n", "k1", "k2", F.col("doc_id").alias("component_id")))
+    joined = stored(own.drop("least").join(least, "component").select("k1", "k2", "least", "component"), "joined")
+    name = F.when(F.col("component").isNull(), F.struct(F.lit(0).alias("kind"), F.col("k1").alias("a"), F.col("k2").alias("b"))).otherwise(F.struct(F.lit(1).alias("kind"), F.col("component").alias("a"), F.lit(0).cast("long").alias("b")))
+    final = classes.join(joined.withColumnRenamed("least", "linked"), ["k1", "k2"], "left").select("k1", "k2", F.coalesce("linked", "least").alias("component_id"), name.alias("component"))
+    cols = ["doc_id", "r1", "r2", F.col("n").alias("n_shingles"), "k1", "k2", "component"]
+    empty = signed.where("n = 0").withColumn("component", F.lit(None).cast("struct<kind:int,a:bigint,b:bigint>"))
+    return signed.where("n > 0").join(final, ["k1", "k2"]).select(*cols, "component_id").union(empty.select(*cols, F.col("doc_id").alias("component_id")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **params) -> DataFrame:
+    """The rows of ``docs``, one of each component: that with the smallest id, null ids last.
+    Texts without words all stay."""
+    found = jaccard_components(docs, id_col=id_col, text_col=text_col, **params)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r1", "r2")).alias("m")
+    kept = stored(found.where("component is not null").groupBy("component").agg(first).select("m.r1", "m.r2"), "kept")
+    blank = ~F.coalesce(F.col("text"), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    row = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = with_keys(row.select("row", "doc_id", "text"), "doc_id", "text", "row")
+    left = rows.where(~blank).join(kept, (rows["k1"] == kept["r1"]) & (rows["k2"] == kept["r2"]), "left_semi").dropDuplicates(["k1", "k2"])
+    return left.select("row.*").union(rows.where(blank).select("row.*"))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,12 @@ ROWS = "bucket int, blob binary"
 HITS = "k1 long, k2 long, at binary"
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, text, k1, k2): 128 bits that name the row; equal rows share them."""
+def with_keys(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """(doc_id, text, k1, k2, and more columns): 128 bits that name the row; equal rows share them."""
     own, text = F.col(id_col), F.col(text_col).cast("string")
     k1 = F.xxhash64(F.lit(1), own.cast("string"), F.lit(2), text)
     k2 = F.xxhash64(F.lit("k"), text, F.lit(3), own.cast("string"))
-    return docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
+    return docs.select(own.alias("doc_id"), text.alias("text"), k1.alias("k1"), k2.alias("k2"), *more)
 
 
 def buckets_for(docs: DataFrame, text_col: str, entries_per_byte: float, entries_per_bucket: int = 4_000_000) -> int:

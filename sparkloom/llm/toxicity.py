@@ -103,28 +103,42 @@ def fit(docs: DataFrame, labels: DataFrame, may_learn: Column, params: Ftrl = Ft
     return {r.slot: r.weight for r in weights.collect()}
 
 
-def score(docs: DataFrame, weights: dict[int, float], params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, score) for every row."""
-    bits = params.bits
+def scores(column: pa.Array, slots: np.ndarray, known: np.ndarray, values: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    """A score of every text; ``known``: by slot, whether it has a weight."""
+    row, slot = features(column, bits)
+    hit = np.flatnonzero(known[slot])
+    key = np.unique(row[hit] << bits | slot[hit])
+    w = values[np.searchsorted(slots, key & ((1 << bits) - 1))] if len(key) else np.zeros(0)
+    total = np.bincount(key >> bits, w, len(column)) + bias
+    return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
+
+
+def _scored_batches(spark: SparkSession, weights: dict[int, float], bits: int, text_col: str, make):
     slots = np.array(sorted(k for k in weights if k != BIAS), np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast((slots, np.array([weights[k] for k in slots.tolist()]), weights.get(BIAS, 0.0)))
+    shared = spark.sparkContext.broadcast((slots, np.array([weights[k] for k in slots.tolist()]), weights.get(BIAS, 0.0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, values, bias = shared.value
-        dense = np.zeros(1 << bits, np.float32)
-        dense[slots] = 1
+        known = np.zeros(1 << bits, bool)
+        known[slots] = True
         for whole in batches:
-            for batch in slices(whole, "text"):
-                row, slot = features(batch.column("text"), bits)
-                hit = np.flatnonzero(dense[slot])
-                key = np.unique(row[hit] << bits | slot[hit])
-                w = values[np.searchsorted(slots, key & ((1 << bits) - 1))] if len(key) else np.zeros(0)
-                total = np.bincount(key >> bits, w, batch.num_rows) + bias
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
+            for batch in slices(whole, text_col):
+                yield make(batch, scores(batch.column(text_col), slots, known, values, bias, bits))
 
+    return run
+
+
+def score(docs: DataFrame, weights: dict[int, float], params: Ftrl = Ftrl(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, score) for every row."""
+    run = _scored_batches(docs.sparkSession, weights, params.bits, "text", lambda batch, s: pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], ["doc_id", "score"]))
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double")
 
 
+def keep_clean(docs: DataFrame, weights: dict[int, float], limit: float = 0.5, params: Ftrl = Ftrl(), text_col: str = "text") -> DataFrame:
+    """The rows, as they are, that score below the limit."""
+    return docs.mapInArrow(_scored_batches(docs.sparkSession, weights, params.bits, text_col, lambda batch, s: batch.filter(pa.array(s < limit))), docs.schema)
+
+
 def held_out(col: Column) -> Column:
     return F.crc32(col.cast("string")) % 5 == 0
 
