@@ -8,8 +8,10 @@
    group is always a set of classes that links connect (``grouped``).
 4. The matrix holds which tokens occur in which group's union, each pair once. A class
    probes it with its rarest tokens, as many as any linked pair must share one of; the
-   groups found are bounded by how many of its tokens their unions hold, and only the
-   members of groups within the bound are compared (``cross_links``).
+   groups found are bounded by how many of its tokens their unions hold. A group within
+   the bound is opened: its most linked member first, as one link is enough; if that
+   does not link, the members that hold a token of the class that fewer than ``COMMON``
+   members hold, and those so short that common tokens alone can do (``cross_links``).
 5. Connected components over groups and links.
 
 A large group of copies is one class, near copies are one group after step 3: no step
@@ -38,6 +40,8 @@ from sparkloom.llm.shared import stored, table
 
 TOKENS_PER_BYTE = 0.18
 TOKEN_BITS = U(52)
+#: A token that so many members hold is common to their group; rarer ones name members.
+COMMON = 32
 
 
 def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,7 +181,7 @@ def first_of_groups(sets: DataFrame, threshold: Fraction, rounds: int) -> DataFr
     return links
 
 
-def cross_links(sets: DataFrame, groups: DataFrame, threshold: Fraction) -> DataFrame:
+def cross_links(sets: DataFrame, stars: DataFrame, groups: DataFrame, threshold: Fraction) -> DataFrame:
     """Links (a, b) between classes of different groups, by the token-group matrix."""
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
     grouped = sets.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("g", F.coalesce("component", "sid")).join(sizes, "component", "left").select("sid", "n", "tokens", "g", F.coalesce("members", F.lit(1)).alias("members"))
@@ -209,12 +213,29 @@ def cross_links(sets: DataFrame, groups: DataFrame, threshold: Fraction) -> Data
     found = probes.join(matrix, "token").where("g <> g2 and (members < members2 or members = members2 and g < g2)").select("sid", "g2").distinct()
     found = stored(found, "candidates")
     asked = grouped.join(found.select("sid").distinct(), "sid", "left_semi").mapInArrow(rows(True), schema).select("token", "sid").join(found, "sid")
-    union = grouped.join(found.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select("sid", "n", "tokens", "g", "members").mapInArrow(rows(True), schema).select("token", F.col("g").alias("g2")).distinct()
-    within = asked.join(union, ["token", "g2"]).groupBy("sid", "g2").agg(F.count(F.lit(1)).alias("bound"))
-    queries = grouped.select(F.col("sid").alias("a"), "n", "tokens").join(within.withColumnRenamed("sid", "a"), "a").where(F.col("bound") * threshold.denominator >= F.col("n") * threshold.numerator)
-    members = grouped.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"), F.col("g").alias("g2"))
-    close = (F.col("n2") * threshold.denominator >= F.col("n") * threshold.numerator) & (F.col("n") * threshold.denominator >= F.col("n2") * threshold.numerator)
-    return stored(linked(queries.join(members, "g2").where(close), threshold), "cross")
+    entries = grouped.join(found.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select("sid", "n", "tokens", "g", "members").mapInArrow(rows(True), schema)
+    union = entries.groupBy("token", F.col("g").alias("g2")).agg(F.count(F.lit(1)).alias("holders"))
+    overlap = stored(asked.join(union, ["token", "g2"]), "overlap")
+    within = overlap.groupBy("sid", "g2").agg(F.count(F.lit(1)).alias("bound"), F.count_if(F.col("holders") >= COMMON).alias("common"))
+    of_query = grouped.select(F.col("sid").alias("a"), "n", "tokens")
+    of_member = grouped.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"), F.col("g").alias("g2"), "members")
+    num, den = threshold.numerator, threshold.denominator
+    queries = of_query.select("a", "n").join(within.withColumnRenamed("sid", "a"), "a").where(F.col("bound") * den >= F.col("n") * num)
+    queries = stored(queries.select("a", "n", "g2", "common"), "queries")
+    close = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
+    # one link to a group is enough: its most linked member is asked first
+    degrees = stars.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+    heads = degrees.join(groups, "node").groupBy(F.col("component").alias("g2")).agg(F.max(F.struct("degree", "node"))["node"].alias("b"))
+    heads = stored(heads.union(grouped.where("members = 1").select(F.col("g").alias("g2"), F.col("sid").alias("b"))), "heads")
+    asked_first = queries.select("a", "g2").join(heads, "g2").join(of_query, "a").join(of_member.drop("g2", "members"), "b").where(close)
+    first = stored(linked(asked_first, threshold), "first")
+    open_ = queries.join(first.join(heads, "b").select("a", "g2"), ["a", "g2"], "left_anti").join(sizes.where("members > 1").select(F.col("component").alias("g2")), "g2", "left_semi")
+    # of the others, those that hold a rare token of the query, or are short enough without any
+    short = open_.join(of_member.select("b", "n2", "g2"), "g2").where(close & (F.col("common") * (num + den) >= (F.col("n") + F.col("n2")) * num)).select("a", "b")
+    rare = overlap.where(F.col("holders") < COMMON).select("token", F.col("sid").alias("a"), "g2").join(open_.select("a", "g2"), ["a", "g2"])
+    sharing = rare.join(entries.select("token", F.col("sid").alias("b"), F.col("g").alias("g2")), ["token", "g2"]).select("a", "b")
+    pairs = short.union(sharing).distinct().join(of_query, "a").join(of_member.drop("g2", "members"), "b").where(close)
+    return stored(first.union(linked(pairs, threshold)), "cross")
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fraction(3, 4), id_col: str = "doc_id", text_col: str = "text", rounds: int = 5) -> DataFrame:
@@ -226,7 +247,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: Fraction = Fra
     sets = stored(shared_tokens(docs, size, text_col, buckets, threshold).withColumn("sid", F.monotonically_increasing_id()), "sets", "none")
     stars = first_of_groups(sets, threshold, rounds)
     groups = components(stars)
-    cross = cross_links(sets, groups, threshold)
+    cross = cross_links(sets, stars, groups, threshold)
     if not cross.isEmpty():
         groups = components(stars.union(cross))
     classes = signed.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
