@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -150,13 +151,15 @@ def _(s, d):
     return merge.merge_frames(o.where("o_orderkey % 2 = 1 OR o_orderkey % 4 = 0"), source, ["o_orderkey"], "update", ["o_totalprice"])
 
 
-def folder() -> str:
-    return tempfile.mkdtemp(prefix="sparkloom-")
+def folder(s: SparkSession) -> str:
+    """A new folder in the one that driver and executors share; a temporary one where none is set."""
+    shared = s.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/data-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="sparkloom-")
 
 
 @query("merge_dataset_upsert", f"{_left} UNION ALL {_new}")
 def _(s, d):
-    o, path = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), folder()
+    o, path = t(s, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"), folder(s)
     write_dataset(o.where("o_orderkey % 2 = 1 OR o_orderkey % 4 = 0").repartitionByRange(6, "o_orderkey"), path)
     merge.merge_dataset(s, path, o.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1000), ["o_orderkey"], "upsert", ["o_custkey"])
     return s.read.parquet(path)
@@ -170,7 +173,7 @@ def _(s, d):
 
 @query("read_files_many_schemas", "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey FROM customer")
 def _(s, d):
-    c, path = t(s, d, "customer").select("c_custkey", "c_nationkey"), folder()
+    c, path = t(s, d, "customer").select("c_custkey", "c_nationkey"), folder(s)
     for i, kind in enumerate(("int", "bigint", "string")):
         c.where(f"c_custkey % 3 = {i}").withColumn("c_nationkey", F.col("c_nationkey").cast(kind)).write.parquet(f"{path}/{kind}")
     return read_files(s, path)
@@ -178,7 +181,7 @@ def _(s, d):
 
 @query("read_csv_json", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey::BIGINT, r_name FROM region")
 def _(s, d):
-    r, path = t(s, d, "region"), folder()
+    r, path = t(s, d, "region"), folder(s)
     r.write.option("header", True).csv(f"{path}/c")
     r.write.json(f"{path}/j")
     return union_all([read_files(s, f"{path}/c", "csv"), read_files(s, f"{path}/j", "json").select("r_regionkey", "r_name")])
@@ -245,14 +248,14 @@ def _(s, d):
 
 @query("derived_partition_keys", "SELECT year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, count(*) AS n FROM orders GROUP BY ALL")
 def _(s, d):
-    path = folder()
+    path = folder(s)
     o = t(s, d, "orders").withColumns({"y": partitions.derived_key("o_orderdate", "year"), "m": partitions.derived_key("o_orderdate", "month")})
     write_dataset(o, path, partition_by=["y", "m"])
     return s.read.parquet(path).groupBy(F.col("y").cast("int").alias("y"), F.col("m").cast("int").alias("m")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def small_files(s, d) -> str:
-    path = folder()
+    path = folder(s)
     li = t(s, d, "lineitem").select(*L)
     write_dataset(li.repartition(6, "l_orderkey"), path, partition_by=["l_returnflag"])
     write_dataset(li.where("l_orderkey % 5 = 0").repartition(2, "l_orderkey"), path, partition_by=["l_returnflag"])
@@ -292,7 +295,7 @@ def _(s, d):
 
 @query("rewrite_schema", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_returnflag FROM lineitem")
 def _(s, d):
-    path = folder()
+    path = folder(s)
     write_dataset(t(s, d, "lineitem").select(*L), path)
     goal = T.StructType([T.StructField(f.name, T.LongType() if f.name == "l_linenumber" else f.dataType) for f in t(s, d, "lineitem").select(*L).schema])
     maintenance.maintain(s, "rewrite_schema", path, schema=goal, policy="strict")
