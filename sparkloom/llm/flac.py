@@ -144,7 +144,7 @@ def pack_bits(value: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def encode(payloads: list[bytes], block: int = 2048, sample_of: np.ndarray | None = None) -> list[bytes]:
-    """A mono 8-bit FLAC stream of each payload (not empty). ``sample_of``: the sample, -128
+    """A mono 8-bit FLAC stream of each payload; an empty one has no frames. ``sample_of``: the sample, -128
     to 127, for each byte value; the byte less 128 if not given."""
     if not payloads:
         return []
@@ -260,11 +260,11 @@ def encode(payloads: list[bytes], block: int = 2048, sample_of: np.ndarray | Non
     lows = np.cumsum(size) - size
     for d in range(len(size)):
         a, b = int(first_frame[d]), int(first_frame[d + 1])
-        low, high = int(begins[a]), int(ends[b - 1]) + 2
+        low, high = (int(begins[a]), int(ends[b - 1]) + 2) if b > a else (0, 0)
         lengths = ends[a:b] + 2 - begins[a:b]
         seek = np.zeros(b - a, [("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
         seek["sample"], seek["offset"], seek["n"] = number[a:b] * block, begins[a:b] - low, n[a:b]
-        info = struct.pack(">HH", max(16, block), max(16, block)) + int(lengths.min()).to_bytes(3, "big") + int(lengths.max()).to_bytes(3, "big")
+        info = struct.pack(">HH", max(16, block), max(16, block)) + int(lengths.min() if len(lengths) else 0).to_bytes(3, "big") + int(lengths.max(initial=0)).to_bytes(3, "big")
         info += (8000 << 44 | 0 << 41 | 7 << 36 | int(size[d])).to_bytes(8, "big") + hashlib.md5(signed[int(lows[d]) : int(lows[d] + size[d])]).digest()
         table_ = seek.tobytes()
         out.append(b"fLaC\x00" + len(info).to_bytes(3, "big") + info + b"\x83" + len(table_).to_bytes(3, "big") + table_ + body[low:high])
