@@ -1,18 +1,19 @@
 """Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
 
 Words are lower-cased runs of letters and digits; shingles are five of them in a row (a
-shorter item has one shingle, of all its words). A window without any shingle of an item
-has similarity 0 with it, so windows are taken where an item's shingle occurs: at the
-offset that lays the item over it, as long as the item. Each gets a 64-bit SimHash of its
+shorter item has one shingle, of all its words). Candidates are found by an exact join of
+shingles: a window as long as an item, and the item, can reach the threshold only if enough
+of the window's places hold a shingle of the item, wherever in it. All windows of which that
+is true are taken, so none is lost before it is fingerprinted. Each gets a 64-bit SimHash of its
 shingles, weighted by how often they occur in it. The items' fingerprints are indexed by
 ``BLOCKS`` blocks of bits, each with all values within ``radius // BLOCKS`` bits: of two
 fingerprints within the radius some block differs in no more bits than that, so the index
 finds every item of the window's length within the radius. Those are verified by exact
-weighted Jaccard similarity of the shingles.
+weighted Jaccard similarity of the shingles. What the radius itself passes over is lost.
 
 The benchmark is broadcast only while it has at most ``MOST`` shingles; a larger one is
 joined by shuffles of (row, place, hash) alone. Otherwise documents are not shuffled:
-only windows are.
+only stretches of two windows are, around shared shingles.
 
 Defined results. Null or wordless text or item: no match. Repeated rows: a result each.
 Several items or places: the best window for each row and item, the first of equal ones.
@@ -47,12 +48,31 @@ def _shingles(df: DataFrame, text: Column, size: int) -> DataFrame:
     return held.withColumn("n", n).withColumn("h", F.explode(F.array(each)))
 
 
-def _fingerprints(df: DataFrame, keys: list[str], shingles: str) -> DataFrame:
-    """SimHash of an array of hashes, by keys; repeats count each time."""
-    one = df.select(*keys, F.explode(shingles).alias("x"))
-    votes = one.groupBy(*keys).agg(*(F.sum(F.shiftright("x", b).bitwiseAND(F.lit(1)) * 2 - 1).alias(f"v{b}") for b in range(64)))
-    fp = reduce(lambda p, q: p.bitwiseOR(q), [F.when(F.col(f"v{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b in range(64)])
-    return votes.select(*keys, fp.alias("fp"))
+def _fingerprint(h: Column) -> Column:
+    """SimHash of an array of hashes; repeats count each time. A long counts two bits."""
+    pair = F.lit(1 << 32 | 1)
+    names = [f"c{b}" for b in range(32)]
+    zero = F.struct(*(F.lit(0).cast("long").alias(c) for c in names))
+    add = lambda acc, x: F.struct(*((acc[c] + F.shiftright(x, b).bitwiseAND(pair)).alias(c) for b, c in enumerate(names)))
+
+    def bits(acc: Column) -> Column:
+        ones = [acc[names[b % 32]].bitwiseAND(F.lit((1 << 32) - 1)) if b < 32 else F.shiftright(acc[names[b % 32]], 32) for b in range(64)]
+        return reduce(lambda p, q: p.bitwiseOR(q), [F.when(c * 2 > F.size(h), F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")) for b, c in enumerate(ones)])
+
+    return F.aggregate(h, zero, add, bits)
+
+
+def _starts(p: Column, need: Column, span: Column, low: Column, high: Column) -> Column:
+    """Starts from ``low`` to ``high`` of the windows of ``span`` places that hold ``need`` or
+    more of the places p (in order), each once: with the first place held, i, those that
+    reach place i + need - 1 and begin after place i - 1."""
+
+    def of(i: Column) -> Column:
+        first = F.greatest(low, F.get(p, i + need - 1) - span + 1, F.get(p, i - 1) + 1)
+        last = F.least(high, F.get(p, i))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - need), of))
 
 
 def _block(fp: Column, i: int) -> Column:
@@ -74,7 +94,8 @@ def _index(items: DataFrame, radius: int) -> DataFrame:
 def weighted_similarity(a: Column, b: Column) -> Column:
     """Weighted Jaccard similarity of two arrays, each element weighing how often it occurs."""
     times = lambda arr, x: F.size(F.filter(arr, lambda y: y == x))
-    common = F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x)))
+    once = (F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b))
+    common = F.when(once, F.size(F.array_intersect(a, b))).otherwise(F.aggregate(F.array_distinct(a), F.lit(0), lambda acc, x: acc + F.least(times(a, x), times(b, x))))
     return common / (F.size(a) + F.size(b) - common)
 
 
@@ -86,27 +107,42 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, radius: int
     total = items.agg(F.sum(F.size("h2")).alias("s"), F.collect_set(F.least("n", F.lit(size))).alias("k")).first()
     large = (total.s or 0) > MOST
     small = (lambda df: df) if large else F.broadcast
-    prints = _fingerprints(items.select("n", "h2", "item"), ["item", "n", "h2"], "h2")
+    prints = items.withColumn("fp", _fingerprint(F.col("h2")))
     index = _index(prints, radius)
-    places = items.select("item", F.col("n").alias("n2"), F.posexplode("h2").alias("offset", "x"))
+    places = items.select("item", F.col("n").alias("n2"), F.explode(F.array_distinct("h2")).alias("x"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t")).withColumns({"key": F.xxhash64("t"), "row": F.monotonically_increasing_id()})
     texts = stored(texts, "texts") if large else texts  # rows are joined to themselves
     found = None
     for k in sorted(total.k):  # five, and what shorter items have
         held = _shingles(texts, F.col("t"), k).drop("t", "w")
         own = places.where(F.least("n2", F.lit(size)) == k)
-        start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("n") - F.col("n2")))
+        m = F.col("n2") - k + 1  # shingles of an item
+        span = F.least(m, F.greatest(F.col("n") - k + 1, F.lit(1)))
+        last = F.greatest(F.lit(0), F.col("n") - F.col("n2"))
+        need = F.greatest(F.lit(1), F.ceil((span + m) * (threshold / (1 + threshold)) - 1e-9).cast("int"))
         if large:  # places alone are shuffled; a document's hashes meet them once
-            at = held.select("row", "n", F.posexplode("h").alias("at", "x")).join(own, "x").select("row", "n2", "at", "offset", "n").groupBy("row").agg(F.collect_set(F.struct("n2", start.alias("start"))).alias("e"))
-            hit, start = held.join(at, "row").withColumn("e", F.explode("e")).select("doc_id", "key", "row", "n", "h", "e.*"), F.col("start")
-        else:
+            spots = held.select("row", "n", F.posexplode("h").alias("at", "x")).join(own, "x").groupBy("row", "n", "n2", "item").agg(F.collect_set("at").alias("p"))
+            ordered = spots.where(F.size("p") >= need).withColumn("p", F.explode(F.array(F.sort_array("p"))))
+            starts = ordered.select("row", "n2", F.explode(_starts(F.col("p"), need, span, F.lit(0), last)).alias("start"))
+            wanted = starts.groupBy("row").agg(F.collect_set(F.struct("n2", "start")).alias("e"))
+            window = held.join(wanted, "row").withColumn("e", F.explode("e")).select("doc_id", "key", "row", "n", "h", "e.*").select("doc_id", "key", "row", "n2", "start", F.slice("h", F.col("start") + 1, span).alias("h"))
+        else:  # part c: the windows that start at its m places, from c * m on
             hit = held.select("doc_id", "key", "row", "n", "h", F.posexplode("h").alias("at", "x")).join(F.broadcast(own), "x")
-        window = hit.select("doc_id", "key", "row", "n2", start.alias("start"), F.slice("h", start + 1, F.greatest(F.col("n2") - k + 1, F.lit(1))).alias("h"))
+
+            def part(c: Column) -> Column:
+                return F.when((c >= 0) & (c <= F.floor(last / m)), F.struct(c.alias("part"), F.slice("h", F.greatest(c, F.lit(0)) * m + 1, 2 * m - 1).alias("near")))
+
+            c = F.floor(F.col("at") / m).cast("int")
+            parts = hit.select("doc_id", "key", "row", "n", "n2", "item", "at", F.explode(F.array(part(c), part(c - 1))).alias("e")).where("e is not null").select("*", "e.*")
+            spots = parts.groupBy("row", "n2", "item", "part").agg(*(F.first(x).alias(x) for x in ("doc_id", "key", "n", "near")), F.collect_set("at").alias("p"))
+            ordered = spots.where(F.size("p") >= need).withColumn("p", F.explode(F.array(F.sort_array("p"))))
+            low = F.col("part") * m
+            starts = ordered.withColumn("start", F.explode(_starts(F.col("p"), need, span, low, F.least(last, low + m - 1))))
+            window = starts.select("doc_id", "key", "row", "n2", "start", F.slice("near", F.col("start") - low + 1, span).alias("h"))
         found = window if found is None else found.union(window)
     if found is None:  # no items
         return docs.select(F.col(id_col).alias("doc_id")).limit(0).select("doc_id", F.lit(None).cast(raw.schema["item"].dataType).alias("item"), *(F.lit(None).cast(t).alias(c) for c, t in (("key", "long"), ("start", "int"), ("n_words", "int"), ("similarity", "double"), ("hamming", "int"))))
-    windows = found.groupBy("row", "n2", "start").agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.first("h").alias("h"))
-    marked = _fingerprints(windows, ["row", "n2", "start", "doc_id", "key", "h"], "h")
+    marked = found.withColumn("h", F.explode(F.array("h"))).withColumn("fp", F.explode(F.array(_fingerprint(F.col("h")))))
     probes = marked.withColumn("e", F.explode(F.array(*(F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS))))).select("*", "e.*").drop("e")
     near = probes.join(small(index.withColumnRenamed("n", "n2")), ["n2", "block", "value"]).withColumn("hamming", F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2")))).where(F.col("hamming") <= radius)
     pairs = near.groupBy("row", "n2", "start", "item").agg(*(F.first(c).alias(c) for c in ("doc_id", "key", "h", "hamming")))

@@ -216,6 +216,30 @@ def test_large_benchmark_is_joined_by_shuffles(spark, monkeypatch):
     test_decontamination(spark)
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_leaks_with_moved_parts(spark, monkeypatch, most):
+    """Halves swapped and sentences moved: no offset of a shingle lays the item over its best window."""
+    monkeypatch.setattr(decontaminate, "MOST", most)
+    rng = random.Random(11)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate((38, 50, 59, 120))] + [(4, "ab cd ef gh ij " * 8)]
+    docs = []
+    for i, q in items[:4]:
+        w, n = q.split(), len(q.split())
+        moved = w[n // 3 :] + w[: n // 3]
+        for j, part in enumerate((w[n // 2 :] + w[: n // 2], moved, w[: n // 4] + w[n // 2 :] + w[n // 4 : n // 2])):
+            docs.append((10 * i + j, " ".join(words(rng, 90, 5000) + part + words(rng, 90, 5000))))
+            docs.append((10 * i + j + 5, " ".join(part)))
+    docs += [(100, "ab cd ef gh ij " * 30), (101, " ".join(words(rng, 70, 5000)) + " " + "ij ab cd ef gh " * 9)] + odd_rows()
+    want = brute_leaks(docs, items)
+    assert {(0, 0), (10, 1), (20, 2), (100, 4), (101, 4)} <= want.keys()
+    df, bench = frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_leaks(df, bench).collect()
+    assert {(r.doc_id, r.item): round(r.similarity, 6) for r in found} == want
+    kept = decontaminate.keep_clean(df, bench)
+    bad = {d for d, _ in want}
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter(x for x in docs if x[0] not in bad)
+
+
 def edits(a, b):
     while a and b and a[0] == b[0] and a[-1] == b[-1] and min(len(a), len(b)) > 500:  # equal ends of very long lines
         a, b = a[1:], b[1:]
