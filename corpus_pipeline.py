@@ -37,7 +37,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document, as read back from the files: where its ids start, how many, their CRC-32."""
-    return tokenids.encoded(docs)
+    return tokenids.encoded(docs, spell_special=False)
 
 
 STAGES = [

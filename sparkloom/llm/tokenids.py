@@ -15,7 +15,9 @@ a byte each that says whether it is null, 32-bit token counts), blocks (32-bit i
 bytes, CRC-32 of the ids) and their bytes, then a CRC-32 of all before. Segments end with
 a document and number their file's ids in order; files hold ranges of document ids.
 
-Defined results. Null or empty text: the end id alone. Equal ids: in order of their
+Defined results. Names of special tokens in a text are spelled out like other text with
+``spell_special``, and get the special ids without, which is the tokenizer's own default
+and what op5 and the pipeline use. Null or empty text: the end id alone. Equal ids: in order of their
 texts. A null id comes first. Empty table: no segments. Other columns are ignored. Ids
 of documents are cast to 64-bit integers; a damaged segment raises ``ValueError``.
 """
@@ -333,12 +335,12 @@ class Pieces:
     never joins a letter, digit or mark with a space after it, so a text may be cut before
     any single space between two characters that are no white space."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 400_000, spell_special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = spell_special
         vocabulary = self.tokenizer.get_vocab()
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # each id stands for as many bytes as its name has characters
         for name, i in vocabulary.items():
@@ -413,13 +415,13 @@ class Pieces:
         return out, counts
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, segment_tokens: int = 8 << 20) -> str:
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, segment_tokens: int = 8 << 20, spell_special: bool = True) -> str:
     """Writes files of ranges of document ids, in order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, file, segment = Pieces(tokenizer), TaskContext.get().partitionId(), 0
+        pieces, file, segment = Pieces(tokenizer, spell_special=spell_special), TaskContext.get().partitionId(), 0
         ids, counts, tokens, have = [], [], [], 0
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
@@ -471,9 +473,9 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "documents"))
+    return encoded(table(spark, sf_dir, "documents"), spell_special=False)
 
 
-def encoded(docs: DataFrame, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json")) -> DataFrame:
+def encoded(docs: DataFrame, tokenizer: str = public_tokenizers.path("byte_bpe_50k.json"), spell_special: bool = True) -> DataFrame:
     spark = docs.sparkSession
-    return read_token_files(spark, write_token_files(docs, new_path(spark, "tokens"), tokenizer))
+    return read_token_files(spark, write_token_files(docs, new_path(spark, "tokens"), tokenizer, spell_special=spell_special))

@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sparkloom.llm import flac, licenses, mixing, registry, tokenids, toxicity, warc
 
 SF = "/root/testdata/sf0.001"
@@ -81,6 +82,23 @@ def test_token_files(spark):
     assert tokenids.encoded(frame(spark, [])).count() == 0
 
 
+def test_token_files_with_special_tokens(spark, tmp_path):
+    """The reference is the tokenizer as it is read, with add_special_tokens=False alone."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"end of one.{end}next document", end, end * 3, f" {end} ", f"a {end} b", f"a  {end}  b", f"x\n{end}\n y {end}", f"é {end}日本 {end}é", f"{end} {end} <|endoftext|", "<|endof text|>", f"w {end}w " * 900, "after"]
+    want, start = [], 0
+    for d, text in enumerate(texts):
+        ids = t.encode(text, add_special_tokens=False).ids + [0]
+        want.append((d, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert want[0][2] == 8  # 7 ids and the end id
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    for got in (registry.QUERIES["op5_token_ids"](spark, str(tmp_path)), corpus_pipeline.token_ids(spark, df, str(tmp_path))):
+        assert sorted(map(tuple, got.collect()), key=lambda x: x[1]) == want
+
+
 @pytest.mark.parametrize("n, top", [(0, 5), (1, 50_257), (4096, 3), (30_000, 50_257), (9000, 1 << 20)])
 def test_coded_blocks(n, top):
     rng = np.random.default_rng(n)
