@@ -11,7 +11,8 @@ rows are sorted only in the one range where it ends, so a leaf of any size is no
 
 Defined results. Null text: no tokens; such rows are taken where the order reaches them. A
 null domain, language or source is a node of its own. Repeated rows: one unit, taken
-together. Weights that are missing: ``default_weight``. No rows or tokens: nothing.
+together. Weights that are missing: ``default_weight``. No rows: nothing.
+A leaf without tokens: all its rows, ``min_epochs`` times.
 Other columns are ignored by ``plan`` and kept by ``mix``.
 """
 
@@ -106,8 +107,9 @@ def plan(docs: DataFrame, p: Mix = Mix(), domain: Column | None = None, id_col:
     domain = domain_of(F.col("source")) if domain is None else domain
     unit = units(docs, domain, id_col, text_col).groupBy("unit", *LEVELS).agg(F.sum("tokens").alias("tokens"))
     leaf = F.xxhash64(*(F.coalesce(F.col(k), F.lit("\x01")) for k in LEVELS), *(F.col(k).isNull() for k in LEVELS))
-    leaves = budgets(unit.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), p).where("tokens > 0")
-    leaves = leaves.withColumns({"leaf": leaf, "epochs": F.floor(F.col("take") / F.col("tokens")), "rest": F.col("take") % F.col("tokens")})
+    leaves = budgets(unit.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), p)
+    some = F.col("tokens") > 0  # a leaf without tokens takes its least epochs, and no prefix
+    leaves = leaves.withColumns({"leaf": leaf, "epochs": F.when(some, F.floor(F.col("take") / F.col("tokens"))).otherwise(p.min_epochs), "rest": F.when(some, F.col("take") % F.col("tokens")).otherwise(-1)})
     own = unit.select("unit", "tokens", leaf.alias("leaf"))
     epoch = leaves.select("leaf", "epochs", "rest")
     placed = own.join(epoch, "leaf").withColumn("place", F.md5(F.concat_ws("|", F.lit(str(p.seed)), F.col("epochs").cast("string"), F.col("unit")))).withColumn("range", F.substring("place", 1, DIGITS))

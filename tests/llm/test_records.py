@@ -202,6 +202,15 @@ def test_mix(spark):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_leaves_without_tokens_stay(spark):
+    odd = spark.createDataFrame([(1, "a b", None, None), (2, None, "en", None), (None, "c", None, "s9"), (3, "", "en", "s1"), (4, " ", "en", "s1")], "doc_id long, text string, lang string, source string")
+    rows = Counter(map(tuple, odd.collect()))
+    assert Counter(map(tuple, mixing.mix(odd, mixing.Mix(1.0, min_epochs=1)).collect())) == rows
+    assert Counter(map(tuple, mixing.mix(odd, mixing.Mix(4.0, min_epochs=2, max_epochs=2)).collect())) == Counter({r: 2 for r in rows})
+    assert mixing.mix(odd.where("doc_id in (2, 3)"), mixing.Mix(1.0, min_epochs=1)).count() == 2
+    assert mixing.mix(odd.where("doc_id in (2, 3)")).count() == 0
+
+
 def test_shortages_go_to_siblings_before_ancestors(spark):
     leaves = spark.createDataFrame([("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("b", "en", "s3", 1000)], "domain string, lang string, source string, tokens long")
     got = {r.source: r.take for r in mixing.budgets(leaves, mixing.Mix(400 / 2010, max_epochs=1)).collect()}
