@@ -2,12 +2,14 @@
 
 Texts are encoded with a given tokenizer and laid end to end, in order of their ids, an
 end id after each. Every ``block`` ids form a block that is coded on its own and carries
-a checksum, so any block can be read without the others. In a block an id is predicted
-from the two ids before it (order 2), the one before (order 1) and its count (order 0):
-a logistic mixer of the three gives the odds that the best candidate is right; if not,
-the odds of the order-1 candidate; if not, the id is coded by adaptive order-0 counts of
-its leading bits. A carry-less range coder takes those odds. Only whole numbers are used,
-so that files decode alike everywhere. Blocks are numpy lanes: one id of each a step.
+a checksum, so any block can be read without the others. A block numbers its ids by first
+place; an id is coded as two digits of its number, each a symbol of 32. Its odds mix three
+predictions: counts of order 0, counts after the id before (order 1), and what followed
+the two before last time (order 2). Weights of the three are learnt for each class of
+contexts: they move towards each one's share in the odds that the symbol got. Number 0
+announces a new id, which is coded by adaptive counts of its leading ten bits. A range
+coder takes the odds. Whole numbers and single operations on floats are used, and sums of
+whole floats alone, so that files decode alike everywhere. Blocks are numpy lanes: one id of each a step.
 
 File format: a row a segment, (file, segment, content). Content is ``TIDS``, then 32-bit
 counts (version, documents, blocks, ids a block), a directory of documents (64-bit ids,
@@ -24,10 +26,13 @@ of documents are cast to 64-bit integers; a damaged segment raises ``ValueError`
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -40,261 +45,293 @@ from sparkloom.llm.bytewords import slices
 from sparkloom.llm.shared import new_path, setting, CLEANUP, table
 
 SEGMENT = "file int, segment int, n_documents int, n_tokens long, content binary"
-MASK, FULL, TOP, BOTTOM = 0xFFFFFFFF, (1 << 48) - 1, 1 << 32, 1 << 28
-SLOTS = 12  # bits of each context table
-
-_d = np.arange(-2047, 2048)
-SQUASH = np.clip((4096 / (1 + np.exp(-_d / 256.0))).round().astype(np.int64), 1, 4095)  # of d + 2047
-STRETCH = np.clip(np.searchsorted(SQUASH, np.arange(4096)) - 2047, -2047, 2047).astype(np.int64)
-COUNT_CLASS = np.minimum(np.floor(np.log2(np.arange(256) + 1) * 2), 15).astype(np.int64)
+U = np.uint64
+#: A block's known ids are symbols of two digits of ``WIDE``; those from ``LATE`` on share one.
+WIDE = 32
+LATE = WIDE * (WIDE - 1)
+#: Odds are parts of 2 ** ``SCALE``; a coder's range is at least ``LEAST`` between ids.
+SCALE, LEAST = 18, 1 << 40
+#: Contexts of order 1 for each digit, and of order 2, in a lane; larger ones share them.
+HIGH, LOW, PAIRS = 512, 1024, 2048
+#: Ids in a block at most, as counts are 16 bits.
+MOST = 1 << 15
+RATE = np.float32(1 / 32)
+BELOW = np.triu(np.ones((WIDE, WIDE), np.float32))
+BYTES = U(0x0101010101010101)
+CLASS = np.minimum(np.frexp(np.arange(MOST + 1).astype(np.float64))[1], 7) * 8
+HIGH_OF = np.minimum(np.arange(MOST + 2) // WIDE, WIDE - 1)
+LOW_OF = np.where(HIGH_OF == WIDE - 1, 0, np.arange(MOST + 2) % WIDE)
 
 
 class Encoder:
+    """A range coder of many lanes, 20 bits a digit; carries are put right at the end."""
+
     def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, FULL, np.int64)
-        self.out, self.at = np.zeros((lanes, room), ">u2"), np.zeros(lanes, np.int64)
-
-    def bit(self, lanes, p, bit):
-        r = self.range[lanes]
-        bound = (r >> 12) * p
-        self.low[lanes] += np.where(bit, 0, bound)
-        self._shift(lanes, np.where(bit, bound, r - bound))
-        return bit
-
-    def symbol(self, lanes, cum, freq, total, rest, part):
-        """A symbol of ``freq`` in ``total`` and ``rest`` more bits as they are."""
-        unit = self.range[lanes] // total
-        r = unit * freq >> rest
-        self.low[lanes] += unit * cum + r * part
-        self._shift(lanes, r)
-
-    def _shift(self, lanes, r):
-        self.range[lanes] = r
-        lo = self.low[lanes]
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            small = ~same & (r < BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            r = np.where(small, -lo & (BOTTOM - 1), r)[go]
-            lo = lo[go]
-            lanes = np.arange(lanes.stop)[go] if isinstance(lanes, slice) else lanes[go]
-            self.out[lanes, self.at[lanes]] = lo >> 32
-            self.at[lanes] += 1
-            lo, r = lo << 16 & FULL, r << 16
-            self.low[lanes], self.range[lanes] = lo, r
+        self.low, self.range = np.zeros(lanes, np.int64), np.full(lanes, LEAST << 20, np.int64)
+        self.out, self.at = np.zeros((lanes, room), np.int32), np.zeros(lanes, np.int64)
+
+    def take(self, a, unit, cum, freq):
+        self.low[a] += unit * cum
+        self.range[a] = unit * freq
+
+    def renew(self, a):
+        go = np.flatnonzero(self.range[a] < LEAST)
+        lanes = go if isinstance(a, slice) else a[go]
+        while len(lanes):
+            low, at = self.low[lanes], self.at[lanes]
+            self.out[lanes, at] = low >> 40
+            self.at[lanes] = at + 1
+            self.low[lanes] = (low & LEAST - 1) << 20
+            self.range[lanes] = r = self.range[lanes] << 20
+            lanes = lanes[r < LEAST]
 
     def finish(self) -> list[bytes]:
+        lanes = np.arange(len(self.at))
         for _ in range(3):
-            self.out[np.arange(len(self.at)), self.at] = self.low >> 32
+            self.out[lanes, self.at] = self.low >> 40
             self.at += 1
-            self.low = self.low << 16 & FULL
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at.tolist())]
+            self.low = (self.low & LEAST - 1) << 20
+        while (carry := self.out >> 20).any():
+            self.out &= 0xFFFFF
+            self.out[:, :-1] += carry[:, 1:]
+        out = []
+        for row, n in zip(self.out, ((self.at + 1) // 2 * 2).tolist()):
+            two = row[:n:2].astype(np.int64) << 20 | row[1:n:2]
+            out.append(two.astype(">i8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes())
+        return out
 
 
 class Decoder:
     def __init__(self, coded: list[bytes]):
         n = len(coded)
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, FULL, np.int64)
-        length = np.array([len(c) // 2 for c in coded], np.int64)
-        self.data = np.frombuffer(b"".join(coded) + bytes(16), ">u2").astype(np.int64)
-        first = np.cumsum(length) - length
+        self.range = np.full(n, LEAST << 20, np.int64)
+        count = np.array([len(c) // 5 * 2 for c in coded], np.int64)
+        raw = np.frombuffer(b"".join(coded), np.uint8).reshape(-1, 5)
+        two = np.zeros((len(raw) + 2, 8), np.uint8)
+        two[:-2, 3:] = raw
+        two = two.view(">i8").ravel().astype(np.int64)
+        self.data = np.stack([two >> 20, two & 0xFFFFF], 1).ravel()
+        self.at, self.end = np.cumsum(count) - count, len(self.data) - 1
         self.code = np.zeros(n, np.int64)
-        for j in range(3):
-            self.code = self.code << 16 | self.data[first + j]
-        self.at, self.end = first + 3, len(self.data) - 1
-
-    def bit(self, lanes, p, bit):
-        r = self.range[lanes]
-        bound = (r >> 12) * p
-        bit = self.code[lanes] - self.low[lanes] < bound
-        self.low[lanes] += np.where(bit, 0, bound)
-        self._shift(lanes, np.where(bit, bound, r - bound))
-        return bit
-
-    def find(self, lanes, total):
-        self.unit = self.range[lanes] // total
-        return np.minimum((self.code[lanes] - self.low[lanes]) // self.unit, total - 1)
-
-    def symbol(self, lanes, cum, freq, total, rest, part):
-        r = self.unit * freq >> rest
-        low = self.low[lanes] + self.unit * cum
-        part = np.minimum((self.code[lanes] - low) // r, (1 << rest) - 1)
-        self.low[lanes] = low + r * part
-        self._shift(lanes, r)
-        return part
-
-    def _shift(self, lanes, r):
-        self.range[lanes] = r
-        lo = self.low[lanes]
-        while True:
-            same = (lo ^ (lo + r)) < TOP
-            small = ~same & (r < BOTTOM)
-            go = np.flatnonzero(same | small)
-            if not len(go):
-                return
-            r = np.where(small, -lo & (BOTTOM - 1), r)[go]
-            lo = lo[go]
-            lanes = np.arange(lanes.stop)[go] if isinstance(lanes, slice) else lanes[go]
-            self.code[lanes] = (self.code[lanes] << 16 | self.data[np.minimum(self.at[lanes], self.end)]) & FULL
-            self.at[lanes] += 1
-            lo, r = lo << 16 & FULL, r << 16
-            self.low[lanes], self.range[lanes] = lo, r
-
-
-def _leading(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The symbol of an id, below 8 the id, else its length and the two bits after the
-    first; and how many bits are left."""
-    e = np.frexp(ids.astype(np.float64))[1].astype(np.int64) - 1
-    big = ids >= 8
-    left = np.where(big, e - 2, 0)
-    return np.where(big, 8 + (e - 3) * 4 + (ids >> left & 3), ids), left
-
-
-def _run(coder, n: np.ndarray, ids: np.ndarray | None, symbols: int) -> np.ndarray:
-    """Codes ids (step, lane), or decodes them if None; n: ids of each lane, falling."""
+        for _ in range(3):
+            self.code = self.code << 20 | self.data[self.at]
+            self.at += 1
+
+    def value(self, a, unit):
+        return self.code[a] // unit
+
+    def take(self, a, unit, cum, freq):
+        self.code[a] -= unit * cum
+        self.range[a] = unit * freq
+
+    def renew(self, a):
+        go = np.flatnonzero(self.range[a] < LEAST)
+        lanes = go if isinstance(a, slice) else a[go]
+        while len(lanes):
+            at = self.at[lanes]
+            self.code[lanes] = self.code[lanes] << 20 | self.data[np.minimum(at, self.end)]
+            self.at[lanes] = at + 1
+            self.range[lanes] = r = self.range[lanes] << 20
+            lanes = lanes[r < LEAST]
+
+
+class Mixer:
+    """Weights of the orders in each class of contexts; order 0 has what 1 and 2 leave."""
+
+    def __init__(self, lanes: int, steps: int):
+        # order 0 never falls below what gives each id that it knows a count of 1
+        self.total = np.float32((1 << SCALE) - 64)
+        self.share = np.float32((1 << SCALE) - 64 - 2 * (steps + 1))
+        conf = np.arange(8)[None, :]
+        n = (1 << np.arange(8)[:, None]) >> 1
+        w2 = int(self.share) * conf // (conf + 3) + 0 * n
+        w1 = (int(self.share) - w2) * n // (n + 6)
+        self.w1, self.w2 = (np.tile(x.ravel().astype(np.float32), lanes) for x in (w1, w2))
+
+    def code(self, coder, a, rows, cls, c0, n0, c1, n1, guess, symbol):
+        """Codes a symbol of ``WIDE``, or decodes it if None, by counts of order 0 and 1 (rows
+        c0 and c1 of sums n0 and n1) and the guess of order 2. Returns it and its counts."""
+        w1, w2 = self.w1.take(cls), self.w2.take(cls)
+        q0 = (self.total - w1 - w2) / n0
+        q1 = w1 / np.maximum(n1, 1)
+        f = c0 * q0[:, None]
+        f += c1 * q1[:, None]
+        np.floor(f, out=f)
+        whole = np.floor(w2)
+        flat = f.reshape(-1)
+        flat[rows + guess] += whole
+        cum = f @ BELOW  # whole numbers below 2 ** 24: the order of the sums does not matter
+        unit = coder.range[a] >> SCALE
+        if symbol is None:
+            under = (cum <= coder.value(a, unit).astype(np.float32)[:, None]).view(np.uint64)
+            symbol = ((under[:, 0] + under[:, 1] + under[:, 2] + under[:, 3]) * BYTES >> U(56)).view(np.int64)
+            np.minimum(symbol, WIDE - 1, out=symbol)
+        at = rows + symbol
+        own, own1 = flat.take(at), c1.reshape(-1).take(at)
+        coder.take(a, unit, (cum.reshape(-1).take(at) - own).astype(np.int64), own.astype(np.int64))
+        # each weight moves towards its share in what the symbol got
+        scale = self.share / (own + 1)
+        w1 += (own1 * q1 * scale - w1) * RATE
+        w2 += (whole * (symbol == guess) * scale - w2) * RATE
+        self.w1[cls], self.w2[cls] = w1, w2
+        return symbol, c0.reshape(-1).take(at), own1
+
+
+def _counted(coder, lanes, table, row, symbol):
+    """Codes a symbol of ``WIDE`` by its counts alone."""
+    c = table.take(row, axis=0)
+    cum = np.cumsum(c, axis=1)
+    unit = coder.range[lanes] // cum[:, -1]
+    if symbol is None:
+        symbol = np.minimum((cum <= coder.value(lanes, unit)[:, None]).sum(1), WIDE - 1)
+    i = np.arange(len(lanes))
+    own = c[i, symbol]
+    coder.take(lanes, unit, cum[i, symbol] - own, own)
+    coder.renew(lanes)
+    table[row, symbol] = own + 6
+    return symbol
+
+
+def _even(coder, lanes, size, value):
+    """Codes a number below ``size``, all alike."""
+    unit = coder.range[lanes] // size
+    if value is None:
+        value = np.minimum(coder.value(lanes, unit), size - 1)
+    coder.take(lanes, unit, value, 1)
+    coder.renew(lanes)
+    return value
+
+
+def _run(coder, n: np.ndarray, bits: int, ids: np.ndarray | None, numbers: np.ndarray | None) -> np.ndarray:
+    """Codes ids (step, lane) of at most ``bits`` bits, of which ``numbers`` says which known one each
+    is (0: a new one), or decodes them if None; n: ids of each lane, falling."""
     lanes, steps, decoding = len(n), int(n[0]), ids is None
+    left = max(0, bits - 10)
     if decoding:
-        ids = np.zeros((steps, lanes), np.int64)
-    else:
-        symbol_of, left_of = _leading(ids)
-    order2, order1 = np.zeros(lanes << SLOTS, np.uint32), np.zeros(lanes << SLOTS, np.uint32)  # candidate << 4 | confidence
-    count = np.zeros(lanes << SLOTS, np.uint8)
-    p2, p1, p0 = (np.full(lanes * k, 1024, np.int64) for k in (16, 32, 16))
-    pb = np.full(lanes * 16, 1024, np.int64)
-    w2, w1, w0 = (np.full(lanes, 26000, np.int64) for _ in range(3))
-    freq = np.full((lanes, symbols), 4, np.int32)
-    total = np.full(lanes, 4 * symbols, np.int64)
-    base = np.arange(lanes, dtype=np.int64) << SLOTS
-    b16, b32 = np.arange(lanes) * 16, np.arange(lanes) * 32
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    k, mask = lanes, (1 << SLOTS) - 1
+        ids, names = np.zeros((steps, lanes), np.int32 if bits < 32 else np.int64), np.zeros((lanes, steps + 1), np.int64)
+    high0, low0 = np.zeros((lanes, WIDE), np.float32), np.zeros((lanes * WIDE, WIDE), np.float32)
+    high0[:, 0] = low0[::WIDE, 0] = 1  # what stands for a new id
+    total0 = np.ones(lanes, np.float32)
+    high1, low1 = np.zeros((lanes * HIGH, WIDE), np.uint16), np.zeros((lanes * LOW, WIDE), np.uint16)
+    total1, total2 = np.zeros(lanes * HIGH, np.uint16), np.zeros(lanes * LOW, np.uint16)
+    high0_, low0_, high1_, low1_ = (x.reshape(-1) for x in (high0, low0, high1, low1))
+    pair = np.zeros(lanes * PAIRS, np.int32)  # candidate << 4 | confidence
+    new1, new2 = np.ones((lanes, WIDE), np.int64), np.ones((lanes * WIDE, WIDE), np.int64)
+    by_high, by_low = Mixer(lanes, steps), Mixer(lanes, steps)
+    lane = np.arange(lanes)
+    base_w, base_1, base_2, base_p, base_g = lane * 64, lane * HIGH, lane * LOW, lane * PAIRS, lane * WIDE
+    known, one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+    k, hi, lo = lanes, None, None
     for t in range(steps):
         while n[k - 1] <= t:
             k -= 1
         a = slice(0, k)
-        s1 = base[a] + ((one[a] * 0x9E3779B1 & MASK) >> (32 - SLOTS))
-        s2 = base[a] + (((one[a] * 0x9E3779B1 + two[a] * 0x85EBCA6B) & MASK) >> (32 - SLOTS))
-        e1, e2 = order1[s1].astype(np.int64), order2[s2].astype(np.int64)
-        c1, f1, f2 = e1 >> 4, e1 & 15, e2 & 15
-        best = np.where(f2 > 0, e2 >> 4, c1)
-        s0 = base[a] + (best * 0x9E3779B1 >> 7 & mask)
-        i2, i1, i0 = b16[a] + f2, b32[a] + f1 * 2 + (c1 == best), b16[a] + COUNT_CLASS[count[s0]]
-        q2, q1, q0 = p2[i2], p1[i1], p0[i0]
-        t2, t1, t0 = STRETCH[q2], STRETCH[q1], STRETCH[q0]
-        p = SQUASH[np.clip(w2[a] * t2 + w1[a] * t1 + w0[a] * t0 >> 16, -2047, 2047) + 2047]
-        hit = coder.bit(a, p, None if decoding else ids[t, a] == best)
-        goal = np.where(hit, 4095, 0)
-        error = (goal - p) * 6
-        w2[a] += t2 * error >> 14
-        w1[a] += t1 * error >> 14
-        w0[a] += t0 * error >> 14
-        p2[i2] = q2 + (goal - q2 >> 5)
-        p1[i1] = q1 + (goal - q1 >> 5)
-        p0[i0] = q0 + (goal - q0 >> 5)
+        rows, p = base_g[a], one[a]
+        s1 = base_1[a] + (p & HIGH - 1)
+        s2 = base_p[a] + (p * 0x9E3779B1 + two[a] * 0x85EBCA6B >> 15 & PAIRS - 1)
+        e = pair.take(s2)
+        guess, conf = e >> 4, e & 15
+        guess_hi, guess_lo = HIGH_OF.take(guess), LOW_OF.take(guess)
+        if not decoding:
+            j = numbers[t, a]
+            hi, lo = HIGH_OF.take(j), LOW_OF.take(j)
+        n1 = total1.take(s1)
+        part, _, own1 = by_high.code(coder, a, rows, base_w[a] + CLASS.take(n1) + (conf >> 1), high0[a], total0[a], high1.take(s1, axis=0), n1, guess_hi, hi)
+        total1[s1] = n1 + 1
+        high1_[s1 * WIDE + part] = own1 + 1
+        group = rows + part
+        s3 = base_2[a] + ((p * 37 + part) * 0x9E3779B1 >> 12 & LOW - 1)
+        n2, held = total2.take(s3), high0_.take(group)
+        rest, own0, own1 = by_low.code(coder, a, rows, base_w[a] + CLASS.take(n2) + (conf >> 1) * (guess_hi == part), low0.take(group, axis=0), held, low1.take(s3, axis=0), n2, guess_lo, lo)
+        coder.renew(a)
+        high0_[group] = held + 1
+        total0[a] += 1
+        total2[s3] = n2 + 1
+        low1_[s3 * WIDE + rest] = own1 + 1
+        low0_[group * WIDE + rest] = own0 + 1
         if decoding:
-            ids[t, a] = best
-        m = np.flatnonzero(~hit)
-        other = m[(c1[m] != best[m]) & (f1[m] > 0)]
-        if len(other):
-            i = other * 16 + f1[other]
-            q = pb[i]
-            right = coder.bit(other, np.clip(q, 32, 4063), None if decoding else ids[t, other] == c1[other])
-            pb[i] = q + (np.where(right, 4095, 0) - q >> 5)
+            j = part * WIDE + rest
+        m = np.flatnonzero(part == WIDE - 1)
+        if len(m):  # one of those that came late
+            at = _even(coder, m, known[m] - (LATE - 1), None if decoding else j[m] - LATE)
             if decoding:
-                ids[t, other[right]] = c1[other[right]]
-            hit[other[right]] = True
-            m = np.flatnonzero(~hit)
-        if len(m):
-            f = freq[m]
-            cum = np.cumsum(f, axis=1, dtype=np.int32)
-            row = np.arange(len(m))
+                j[m] = LATE + at
+        m = np.flatnonzero(j == 0)
+        if len(m):  # an id that the block has not had
+            x = None if decoding else ids[t, m].astype(np.int64)
+            value = _counted(coder, m, new1, m, None if decoding else x >> left + 5)
+            value = value << 5 | _counted(coder, m, new2, m * WIDE + value, None if decoding else x >> left & WIDE - 1)
+            for low in range(left - left % 16, -1, -16):
+                width = min(16, left - low)
+                if width:
+                    value = value << width | _even(coder, m, 1 << width, None if decoding else x >> low & (1 << width) - 1)
+            known[m] = now = known[m] + 1
+            j = j.copy()
+            j[m] = now
+            high0_[m * WIDE + HIGH_OF[now]] += 1
+            low0_[(m * WIDE + HIGH_OF[now]) * WIDE + LOW_OF[now]] += 1
+            total0[m] += 1
             if decoding:
-                value = coder.find(m, total[m])
-                sym = (cum <= value[:, None]).sum(1)
-            else:
-                sym = symbol_of[t, m]
-            own = f[row, sym]
-            if decoding:
-                left = np.maximum((sym - 8) // 4 + 1, 0)
-                value = np.where(sym < 8, sym, 4 | sym & 3)
-            else:
-                left = left_of[t, m]
-            rest = np.minimum(left, 15)
-            part = coder.symbol(m, cum[row, sym] - own, own, total[m], rest, None if decoding else ids[t, m] >> left - rest & (1 << rest) - 1)
-            if decoding:
-                value = value << rest | part
-            g = np.flatnonzero(left > 15)
-            if len(g):  # ids of more than 18 bits
-                more = left[g] - 15
-                if decoding:
-                    coder.find(m[g], 1)
-                part = coder.symbol(m[g], 0, 1, 1, more, None if decoding else ids[t, m[g]] & (1 << more) - 1)
-                if decoding:
-                    value[g] = value[g] << more | part
-            if decoding:
-                ids[t, m] = value
-            freq[m, sym] += 24
-            total[m] += 24
-            large = m[total[m] > 8000]
-            if len(large):
-                freq[large] = (freq[large] >> 1) + 1
-                total[large] = freq[large].sum(1)
-        now = ids[t, a]
-        order1[s1] = _learn(c1, f1, now)
-        order2[s2] = _learn(e2 >> 4, f2, now)
-        s0 = base[a] + (now * 0x9E3779B1 >> 7 & mask)
-        count[s0] += count[s0] < 255
-        two[a] = one[a]
-        one[a] = now
+                names[m, now] = value
+        if decoding:
+            ids[t, a] = names[lane[a], j]
+        c = np.where(guess == j, np.minimum(conf + 1, 15), conf >> 1)
+        pair[s2] = np.where(c == 0, j << 4 | 2, guess << 4 | c)
+        two[a] = p
+        one[a] = j
     return ids
 
 
-def _learn(candidate: np.ndarray, confidence: np.ndarray, now: np.ndarray) -> np.ndarray:
-    same = candidate == now
-    f = np.where(same, np.minimum(confidence + 1, 15), confidence >> 1)
-    fresh = f == 0
-    return np.where(fresh, now << 4 | 1, candidate << 4 | f).astype(np.uint32)
-
-
-def _symbols(largest: int) -> int:
-    return 64 if largest < 1 << 17 else 128
-
+def _numbers(grid: np.ndarray) -> np.ndarray:
+    """For ids (block, step) which of its block's ids each is, from 1 by first place; 0 there."""
+    order = np.argsort(grid.astype(np.uint16) if grid.max(initial=0) < 1 << 16 else grid, axis=1, kind="stable")
+    s = np.take_along_axis(grid, order, 1)
+    new = np.ones(s.shape, bool)
+    new[:, 1:] = s[:, 1:] != s[:, :-1]
+    first = np.take_along_axis(order, np.maximum.accumulate(np.where(new, np.arange(s.shape[1]), 0), axis=1), 1)
+    mark, out = np.zeros(s.shape, np.int64), np.zeros(s.shape, np.int64)
+    np.put_along_axis(mark, order, new, 1)
+    np.put_along_axis(out, order, np.where(new, 0, np.take_along_axis(np.cumsum(mark, axis=1), first, 1)), 1)
+    return out
 
-def _even(n: int, most: int) -> int:
+def _alike(n: int, most: int) -> int:
     """Lanes a pass, so that passes are alike."""
     return max(1, -(-n // max(1, round(n / most))))
 
 
-def code_blocks(ids: np.ndarray, block: int, lanes: int = 2048) -> list[tuple[int, int, bytes]]:
+def code_blocks(ids: np.ndarray, block: int, lanes: int = 512) -> list[tuple[int, int, bytes]]:
     """(ids, CRC-32 of the ids as little-endian 32-bit integers, bytes) of each block."""
+    if not 1 <= block < MOST:
+        raise ValueError(f"a block holds from 1 to {MOST - 1} ids")
     out = []
-    symbols = _symbols(int(ids.max(initial=0)))
-    step = block * _even(-(-len(ids) // block), lanes)
+    bits = max(10, int(ids.max(initial=0)).bit_length())
+    step = block * _alike(-(-len(ids) // block), lanes)
     for low in range(0, len(ids), step):
         part = ids[low : low + step]
         n = np.full(-(-len(part) // block), block)
         n[-1] = len(part) - block * (len(n) - 1)
-        grid = np.zeros((len(n), block), np.int64)
+        grid = np.zeros((len(n), block), np.int64 if bits > 31 else np.int32)
         grid.ravel()[: len(part)] = part
+        grid = grid[:, : n[0]]
+        if n[-1] < n[0]:
+            grid[-1, n[-1] :] = grid[-1, 0]
         coder = Encoder(len(n), int(n[0]) * 4 + 16)
-        _run(coder, n, np.ascontiguousarray(grid[:, : n[0]].T), symbols)
+        _run(coder, n, bits, np.ascontiguousarray(grid.T), np.ascontiguousarray(_numbers(grid).T))
         raw = part.astype("<u4").tobytes()
-        out += [(int(c), zlib.crc32(raw[4 * i * block : 4 * (i * block + int(c))]), bytes([symbols]) + x) for i, (c, x) in enumerate(zip(n, coder.finish()))]
+        out += [(int(c), zlib.crc32(raw[4 * i * block : 4 * (i * block + int(c))]), bytes([bits]) + x) for i, (c, x) in enumerate(zip(n, coder.finish()))]
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, int, bytes]], lanes: int = 2048) -> np.ndarray:
+def decode_blocks(blocks: list[tuple[int, int, bytes]], lanes: int = 512) -> np.ndarray:
     """The ids of the blocks, one after another."""
     parts: list[np.ndarray | None] = [None] * len(blocks)
     order = sorted(range(len(blocks)), key=lambda i: (blocks[i][2][0], -blocks[i][0]))
-    step = _even(len(order), lanes)
+    step = _alike(len(order), lanes)
     while order:
         group = [i for i in order[:step] if blocks[i][2][0] == blocks[order[0]][2][0]]
         order = order[len(group) :]
         n = np.array([blocks[i][0] for i in group])
-        grid = _run(Decoder([blocks[i][2][1:] for i in group]), n, None, blocks[group[0]][2][0])
+        grid = _run(Decoder([blocks[i][2][1:] for i in group]), n, blocks[group[0]][2][0], None, None)
         for j, i in enumerate(group):
             parts[i] = np.ascontiguousarray(grid[: n[j], j]).astype("<u4")
             if zlib.crc32(parts[i].tobytes()) != blocks[i][1]:
@@ -304,7 +341,7 @@ def decode_blocks(blocks: list[tuple[int, int, bytes]], lanes: int = 2048) -> np
 
 def pack_segment(ids: list, counts: np.ndarray, tokens: np.ndarray, block: int) -> bytes:
     blocks = code_blocks(tokens, block)
-    head = b"TIDS" + struct.pack("<IIII", 1, len(ids), len(blocks), block)
+    head = b"TIDS" + struct.pack("<IIII", 2, len(ids), len(blocks), block)
     head += np.array([0 if i is None else i for i in ids], "<i8").tobytes() + bytes(i is None for i in ids) + counts.astype("<u4").tobytes()
     head += np.array([(n, len(x), c) for n, c, x in blocks], "<u4").tobytes()
     body = head + b"".join(x for _, _, x in blocks)
@@ -315,7 +352,9 @@ def unpack_segment(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """Document ids, their token counts, and all tokens."""
     if content[:4] != b"TIDS" or struct.unpack("<I", content[-4:])[0] != zlib.crc32(memoryview(content)[:-4]):
         raise ValueError("a damaged segment")
-    _, docs, n_blocks, _ = struct.unpack_from("<IIII", content, 4)
+    version, docs, n_blocks, _ = struct.unpack_from("<IIII", content, 4)
+    if version != 2:
+        raise ValueError(f"version {version} of the format is not known")
     at = 20
     ids = np.frombuffer(content, "<i8", docs, at).tolist()
     missing = content[at + 8 * docs : at + 9 * docs]
@@ -330,6 +369,10 @@ def unpack_segment(content: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     return [None if m else i for i, m in zip(ids, missing)], counts, decode_blocks(blocks)
 
 
+#: A single space between two characters that are no white space.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
 class Pieces:
     """Ids of texts by way of a bounded store of pieces. A byte-level tokenizer of this kind
     never joins a letter, digit or mark with a space after it, so a text may be cut before
@@ -349,8 +392,7 @@ class Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.ends = np.zeros(1 << 16, np.int32), [0]
+        self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -370,58 +412,45 @@ class Pieces:
             self._keep([p], np.array(ids, np.int32), np.array([len(ids)]))
 
     def _keep(self, pieces: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        base, n = self.ends[-1], len(self.ends)
-        if base + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * (base + len(ids)))
-        self.flat[base : base + len(ids)] = ids
-        self.known.update(zip(pieces, range(n - 1, n - 1 + len(pieces))))
-        self.ends += (base + ends).tolist()
+        raw = ids.astype("<u4").tobytes()
+        stops = (4 * ends).tolist()
+        self.known.update(zip(pieces, [raw[a:b] for a, b in zip([0, *stops], stops)]))
 
     @staticmethod
     def cut(text: str) -> list[str]:
-        words = text.split(" ")
-        if all(words) and not any(w[0].isspace() or w[-1].isspace() for w in words):
-            return words[:1] + [" " + w for w in words[1:]]
-        out = [words[0]]
-        for w in words[1:]:
-            if w and out[-1] and not w[0].isspace() and not out[-1][-1].isspace():
-                out.append(" " + w)
-            else:
-                out[-1] += " " + w
-        return out
+        words = CUT.split(text)
+        return words[:1] + [" " + w for w in words[1:]]
 
     def ids(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, the end id after each, and how many each has."""
         if len(self.known) > self.most:
             self.clear()
-        pieces, per = [], []
-        for t in texts:
-            cut = self.cut(t) if t else []
-            pieces += cut
-            per.append(len(cut))
-        self._add(list({p for p in pieces if p not in self.known}))
-        code = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        ends = np.array(self.ends)
-        first, n = ends[code], ends[code + 1] - ends[code]
-        per = np.array(per, np.int64)
-        last = np.cumsum(per)
-        total = np.r_[0, np.cumsum(n)]
-        counts = total[last] - total[last - per] + 1
-        out = np.full(int(counts.sum()), end_id, np.int64)
-        keep = np.ones(len(out), bool)
-        keep[np.cumsum(counts) - 1] = False
-        at = np.arange(int(total[-1])) + np.repeat(first - total[:-1], n)
-        out[keep] = self.flat[at]
-        return out, counts
-
-
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, segment_tokens: int = 8 << 20, spell_special: bool = True) -> str:
+        known, end = self.known, struct.pack("<I", end_id)
+        cut = [self.cut(t) if t else [] for t in texts]
+        self._add(list(set().union(*cut).difference(known)))
+        coded = [b"".join(map(known.__getitem__, c)) + end for c in cut]
+        return np.frombuffer(b"".join(coded), "<u4"), np.array([len(c) // 4 for c in coded], np.int64)
+
+
+@lru_cache(maxsize=1)
+def pieces_of(path: str, spell_special: bool) -> Pieces:
+    """The store of a Python worker, which tasks that follow each other share."""
+    return Pieces(path, spell_special=spell_special)
+
+
+def _files(rows: DataFrame, max_bytes: int) -> int:
+    """So many that none holds much over ``max_bytes`` of text, and that all cores are busy."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, math.ceil(total / max_bytes), min(math.ceil(total / (2 << 20)), 4 * rows.sparkSession.sparkContext.defaultParallelism))
+
+
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", block: int = 4096, segment_tokens: int = 4 << 20, spell_special: bool = True, max_bytes: int = 128 << 20) -> str:
     """Writes files of ranges of document ids, in order."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange(_files(rows, max_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, file, segment = Pieces(tokenizer, spell_special=spell_special), TaskContext.get().partitionId(), 0
+        pieces, file, segment = pieces_of(tokenizer, spell_special), TaskContext.get().partitionId(), 0
         ids, counts, tokens, have = [], [], [], 0
         for whole in batches:
             for batch in slices(whole, "text", 1 << 20):
