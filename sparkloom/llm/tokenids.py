@@ -53,8 +53,8 @@ LATE = WIDE * (WIDE - 1)
 SCALE, LEAST = 18, 1 << 40
 #: Contexts of order 1 for each digit, and of order 2, in a lane; larger ones share them.
 HIGH, LOW, PAIRS = 512, 1024, 2048
-#: Ids in a block at most, as counts are 16 bits.
-MOST = 1 << 15
+#: Ids in a block at most.
+MOST = 1 << 13
 RATE = np.float32(1 / 32)
 BELOW = np.triu(np.ones((WIDE, WIDE), np.float32))
 BYTES = U(0x0101010101010101)
@@ -138,10 +138,10 @@ class Decoder:
 class Mixer:
     """Weights of the orders in each class of contexts; order 0 has what 1 and 2 leave."""
 
-    def __init__(self, lanes: int, steps: int):
-        # order 0 never falls below what gives each id that it knows a count of 1
+    def __init__(self, lanes: int):
+        # order 0 never falls below what gives each id that it knows a part of the odds
         self.total = np.float32((1 << SCALE) - 64)
-        self.share = np.float32((1 << SCALE) - 64 - 2 * (steps + 1))
+        self.share = np.float32((1 << SCALE) - 64 - 2 * (MOST + 1))
         conf = np.arange(8)[None, :]
         n = (1 << np.arange(8)[:, None]) >> 1
         w2 = int(self.share) * conf // (conf + 3) + 0 * n
@@ -217,7 +217,7 @@ def _run(coder, n: np.ndarray, bits: int, ids: np.ndarray | None, numbers: np.nd
     high0_, low0_, high1_, low1_ = (x.reshape(-1) for x in (high0, low0, high1, low1))
     pair = np.zeros(lanes * PAIRS, np.int32)  # candidate << 4 | confidence
     new1, new2 = np.ones((lanes, WIDE), np.int64), np.ones((lanes * WIDE, WIDE), np.int64)
-    by_high, by_low = Mixer(lanes, steps), Mixer(lanes, steps)
+    by_high, by_low = Mixer(lanes), Mixer(lanes)
     lane = np.arange(lanes)
     base_w, base_1, base_2, base_p, base_g = lane * 64, lane * HIGH, lane * LOW, lane * PAIRS, lane * WIDE
     known, one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
@@ -301,8 +301,8 @@ def _alike(n: int, most: int) -> int:
 
 def code_blocks(ids: np.ndarray, block: int, lanes: int = 512) -> list[tuple[int, int, bytes]]:
     """(ids, CRC-32 of the ids as little-endian 32-bit integers, bytes) of each block."""
-    if not 1 <= block < MOST:
-        raise ValueError(f"a block holds from 1 to {MOST - 1} ids")
+    if not 1 <= block <= MOST:
+        raise ValueError(f"a block holds from 1 to {MOST} ids")
     out = []
     bits = max(10, int(ids.max(initial=0)).bit_length())
     step = block * _alike(-(-len(ids) // block), lanes)

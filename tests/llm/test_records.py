@@ -114,6 +114,22 @@ def test_coded_blocks(n, top):
             tokenids.unpack_segment(content[:90] + bytes([content[90] ^ 1]) + content[91:])
 
 
+def test_ids_are_coded_smaller_than_by_zlib():
+    """Real ids, not repeated ones: against zlib over the same ids as 16-bit numbers, block by block."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(2, 9))) for _ in range(600)]
+    ids = np.array(t.encode(" ".join(rng.choice(words, 9000)), add_special_tokens=False).ids)
+    plain = sum(len(zlib.compress(ids[i : i + 4096].astype("<u2").tobytes())) for i in range(0, len(ids), 4096))
+    assert sum(len(x) for _, _, x in tokenids.code_blocks(ids, 4096)) < 0.9 * plain
+
+
+@pytest.mark.parametrize("block", [0, tokenids.MOST + 1])
+def test_blocks_of_wrong_sizes(block):
+    with pytest.raises(ValueError):
+        tokenids.code_blocks(np.arange(5), block)
+
+
 def test_repeated_ids_are_coded_small():
     ids = np.tile(np.arange(1000, 1300), 100)
     assert sum(len(x) for _, _, x in tokenids.code_blocks(ids, 4096)) < len(ids) / 2
