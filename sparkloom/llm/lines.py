@@ -3,14 +3,22 @@
 A line goes if an equal line, or one within ``threshold`` edits, stands at an earlier
 place (order: document id, nulls first; then the row; then the line number). Distinct lines
 are joined once each: a line of n characters has ``threshold + 1`` even segments, and any
-line within the threshold holds one of them whole, near where it stood. So segments are
-indexed by (n, number, text); each line probes the index for every length up to
-``threshold`` below its own, at the few positions that a match can have. Pairs are
-verified by a banded bit-parallel automaton: for 0, 1, ... edits, a word of bits says
-which diagonals can be reached.
+line within the threshold holds one of them whole, near where it stood. So a line has keys
+of (n, number, text of the segment), for every length up to ``threshold`` below its own and
+the few positions that a match can have; those of its own segments are the index.
+
+Each line is first compared with the earliest line of each of its keys: that settles
+families of near lines without pairs within them. Lines that this leaves open are then
+joined with all earlier ones of their keys whose letters' counts allow it (``letters``).
+Candidates are cut to where they differ, and if a part between two edits is equal
+(``may_match``) verified by a banded bit-parallel automaton: for 0, 1, ... edits, a word of
+bits says which diagonals can be reached. Texts are not shuffled with keys.
 
 Defined results. Null text: no lines, kept text empty. Blank lines stay and match nothing.
-Lines below ``min_near`` characters match equal lines only. Repeated rows: the later one's
+Lines below ``min_near`` characters match equal lines only: two edits are a quarter of a
+line of 8, and short lines such as dates or numbers differ by that and are no copies; that
+is part of the definition. A threshold over 4 raises ``ValueError``, as its words of bits
+do not fit 64. Repeated rows: the later one's
 lines all go, but for blank ones. A null id counts as the smallest. Other columns are
 ignored.
 """
@@ -42,17 +50,10 @@ def _part(line: Column, start: Column, size: Column) -> Column:
     return F.substr(line, (start - 1) * 4 + 1, size * 4)
 
 
-def index_keys(line: Column, n: Column, threshold: int) -> Column:
-    out = []
-    for i in range(threshold + 1):
-        start, size = _segment(n, i, threshold + 1)
-        out.append(_key(n, i, _part(line, start, size)))
-    return F.array(*out)
-
-
-def probe_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column:
-    """Keys of the substrings that can be a segment of a line as long or shorter: those that
-    leave no more edits on either side than the segments there allow."""
+def line_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column:
+    """(key, own) of the substrings that can be a segment of a line as long or shorter: those
+    that leave no more edits on either side than the segments there allow; ``own``: it is
+    the line's own segment."""
     out = []
     for less in range(threshold + 1):
         size_of = n - less
@@ -61,11 +62,58 @@ def probe_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             for off in range(low, high + 1):
                 at = start + off
-                fits = (at >= 1) & (at + size - 1 <= n) & (size_of >= min_near)
-                out.append(F.when(fits, _key(size_of, i, _part(line, at, size))))
+                entry = F.struct(_key(size_of, i, _part(line, at, size)).alias("key"), F.lit(less == off == 0).alias("own"))
+                out.append(entry if less == off == 0 else F.when((at >= 1) & (at + size - 1 <= n) & (size_of >= min_near), entry))
     return F.array_compact(F.array(*out))
 
 
+#: Letters whose counts are compared, 8 bits each.
+LETTERS = "etaoinsr"
+
+
+def letters(line: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, at most 255, in a number each."""
+    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))), F.lit(255)).cast("long")
+    return reduce(lambda p, q: p.bitwiseOR(q), [F.shiftleft(count(c), 8 * i) for i, c in enumerate(LETTERS)])
+
+
+def letters_apart(a: Column, b: Column) -> Column:
+    """How far counts are apart in sum; an edit changes that by 2 at most."""
+    one = lambda x, i: F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255))
+    return reduce(lambda p, q: p + q, [F.abs(one(a, i) - one(b, i)) for i in range(len(LETTERS))])
+
+
+#: Lines of 2 ** ``STEPS`` characters or more are not cut.
+STEPS = 17
+
+
+def may_match(pairs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (x, y, n, m: lines and their lengths) that can be within the threshold. Of
+    what is left without the common start and end, the first and the last characters
+    differ, so at most ``threshold - 2`` edits are between; of ``threshold - 1`` parts one
+    is whole in the other line, moved by no more than the threshold."""
+    # each is a column by way of a generator: expressions that build on each other would grow without end
+    held = lambda df, name, column: df.withColumn(name, F.explode(F.array(column)))
+    df = held(held(pairs, "x4", F.encode("x", "UTF-32")), "y4", F.encode("y", "UTF-32"))
+    x, y, p, q, n, m = (F.col(c) for c in ("x4", "y4", "p", "q", "n", "m"))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(STEPS))))
+    df = held(df, "p", F.aggregate(steps, F.lit(0), lambda p, s: p + F.when(_part(x, p + 1, s) == _part(y, p + 1, s), s).otherwise(0)))
+    ends = lambda q, s: (q + s <= F.least(n, m) - p) & (_part(x, n - q - s + 1, s) == _part(y, m - q - s + 1, s))
+    df = held(df, "q", F.aggregate(steps, F.lit(0), lambda q, s: q + F.when(ends(q, s), s).otherwise(0)))
+    a, b = n - p - q, m - p - q
+    if threshold < 2:
+        fine = (a <= threshold) & (b <= threshold)
+    else:
+        inner, parts = a - 2, threshold - 1
+        same = []
+        for i in range(parts):
+            start, size = _segment(inner, i, parts)
+            at = p + 1 + start
+            same += [(at + off >= 1) & (_part(x, at, size) == _part(y, at + off, size)) for off in range(-threshold, threshold + 1)]
+        fine = (a <= 2) | (b <= 2) | reduce(lambda s, t: s | t, same)
+    return df.where((F.greatest("n", "m") >= 1 << STEPS) | fine).drop("x4", "y4", "p", "q")
+
+
 def within(x: Column, y: Column, threshold: int) -> Column:
     """Whether two strings, given as arrays of characters, are within the threshold. Bit k of
     word d: with d edits, as many characters of x, plus k - threshold, as of y can have been
@@ -97,39 +145,54 @@ def within(x: Column, y: Column, threshold: int) -> Column:
 
 
 def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
-    """(lid): lines that an earlier one is near to. ``lines``: (lid, first, line, n), distinct."""
+    """(lid): lines that an earlier one is near to. ``lines``: (lid, line, n), distinct, in
+    order of lid."""
     near = lines.where(F.col("n") >= min_near)
-    wide = near.select("lid", "n", F.encode("line", "UTF-32").alias("line"))
-    index = wide.select("lid", F.explode(index_keys(F.col("line"), F.col("n"), threshold)).alias("key"))
-    probes = wide.select(F.col("lid").alias("lid2"), F.explode(F.array_distinct(probe_keys(F.col("line"), F.col("n"), threshold, min_near))).alias("key"))
-    pairs = index.join(probes, "key").where("lid <> lid2").select(F.least("lid", "lid2").alias("a"), F.greatest("lid", "lid2").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("lid")).distinct()
-    near = stored(near.join(wanted, "lid", "left_semi"), "wanted")
-    one = near.select(F.col("lid").alias("a"), F.col("first").alias("first1"), F.col("line").alias("x"))
-    two = near.select(F.col("lid").alias("b"), F.col("first").alias("first2"), F.col("line").alias("y"))
-    found = stored(pairs.join(one, "a").join(two, "b").repartition("a", "b").withColumns({"x": F.split("x", ""), "y": F.split("y", "")}), "pairs").where(within(F.col("x"), F.col("y"), threshold))
-    return found.select(F.when(F.col("first1") < F.col("first2"), F.col("b")).otherwise(F.col("a")).alias("lid")).distinct()
+    keys = F.explode(line_keys(F.encode("line", "UTF-32"), F.col("n"), threshold, min_near)).alias("e")
+    held = near.select("lid", "n", "line", letters(F.col("line")).alias("letters"))
+    entries = stored(held.select("lid", "letters", keys).select("e.key", "e.own", "lid", "letters"), "entries")
+    heads = entries.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("lid"))).alias("first_own"), F.min("lid").alias("first_any"), F.max("lid").alias("last")).where("first_own is not null and first_any <> last").drop("last")
+    live = stored(entries.join(heads, "key"), "live")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = near.select(F.col("lid").alias("a"), F.col("line").alias("x"), "n")
+        two = near.select(F.col("lid").alias("b"), F.col("line").alias("y"), F.col("n").alias("m"))
+        cut = may_match(pairs.distinct().join(one, "a").join(two, "b"), threshold).select("b", "x", "y")
+        # arrays pass through a generator, as lambdas compute what they refer to anew
+        wide = cut.withColumn("x", F.explode(F.array(F.split("x", "")))).withColumn("y", F.explode(F.array(F.split("y", ""))))
+        return wide.where(within(F.col("x"), F.col("y"), threshold)).select(F.col("b").alias("lid"))
+
+    first = live.select(F.explode(F.array("first_own", F.when(F.col("own"), F.col("first_any")))).alias("a"), F.col("lid").alias("b")).where("a < b")
+    settled = stored(verified(first).distinct(), "settled")
+    open_ = live.join(settled, "lid", "left_anti").select("key", "first_own", "first_any", F.col("own").alias("own_b"), F.col("lid").alias("b"), F.col("letters").alias("of_b"))
+    earlier = live.select("key", F.col("own").alias("own_a"), F.col("lid").alias("a"), F.col("letters").alias("of_a"))
+    new = "a < b and (own_a or own_b) and a <> first_own and not (own_b and a = first_any)"
+    rest = open_.join(earlier, "key").where(new).where(letters_apart(F.col("of_a"), F.col("of_b")) <= 2 * threshold).select("a", "b")
+    return settled.union(verified(rest)).distinct()
 
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_near: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_equal, n_near, kept): how many lines an equal or else a near one
     precedes, and the text without them."""
+    if not 0 <= threshold <= 4:
+        raise ValueError(f"a threshold from 0 to 4 is needed, not {threshold}")
     rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
     split = F.split("text", "\n")
     places = rows.select("doc_id", "row", F.posexplode(split).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
     hashed = places.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"), F.length("line"))})
     place = F.struct("doc_id", "row", "pos")
     distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos", "line")).alias("m"))
-    lines = stored(distinct.select("h1", "h2", F.struct("m.doc_id", "m.row", "m.pos").alias("first"), F.col("m.line").alias("line"), F.length("m.line").alias("n")).withColumn("lid", F.monotonically_increasing_id()), "lines")
-    near = stored(near_lines(lines, threshold, min_near), "near")
+    ordered = distinct.select("h1", "h2", F.struct("m.doc_id", "m.row", "m.pos").alias("first"), F.col("m.line").alias("line"), F.length("m.line").alias("n")).repartitionByRange("first").sortWithinPartitions("first")
+    lines = stored(ordered.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    near = stored(near_lines(lines.select("lid", "line", "n"), threshold, min_near), "near")
     judged = lines.select("h1", "h2", "first", "lid").join(near.withColumn("near", F.lit(True)), "lid", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     found = hashed.select("h1", "h2", "row", "pos", place.alias("place")).join(judged, ["h1", "h2"]).select("row", "pos", (F.col("place") != F.col("first")).alias("equal"), "near").where("equal or near")
     gone = found.groupBy("row").agg(F.collect_list("pos").alias("gone"), F.count_if("equal").alias("n_equal"), F.count_if(~F.col("equal")).alias("n_near"))
-    all_ = F.sequence(F.lit(0), F.size(split) - 1)
-    kept = F.transform(F.array_except(all_, F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get(split, i))
-    return rows.join(gone, "row", "left").select(
-        "doc_id", F.when(F.col("text") == "", 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.array_join(kept, "\n").alias("kept")
+    joined = rows.join(gone, "row", "left").withColumn("lines", F.explode(F.array(split)))  # a column, as lambdas compute what they refer to anew
+    all_ = F.sequence(F.lit(0), F.size("lines") - 1)
+    kept = F.transform(F.array_except(all_, F.coalesce("gone", F.array().cast("array<int>"))), lambda i: F.get("lines", i))
+    return joined.select(
+        "doc_id", F.when(F.col("text") == "", 0).otherwise(F.size("lines")).cast("long").alias("n_lines"), F.coalesce("n_equal", F.lit(0)).alias("n_equal"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.array_join(kept, "\n").alias("kept")
     )
 
 
