@@ -149,10 +149,14 @@ def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
     order of lid."""
     near = lines.where(F.col("n") >= min_near)
     keys = F.explode(line_keys(F.encode("line", "UTF-32"), F.col("n"), threshold, min_near)).alias("e")
-    held = near.select("lid", "n", "line", letters(F.col("line")).alias("letters"))
-    entries = stored(held.select("lid", "letters", keys).select("e.key", "e.own", "lid", "letters"), "entries")
-    heads = entries.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("lid"))).alias("first_own"), F.min("lid").alias("first_any"), F.max("lid").alias("last")).where("first_own is not null and first_any <> last").drop("last")
-    live = stored(entries.join(heads, "key"), "live")
+    entries = stored(near.select("lid", keys).select("e.key", "e.own", "lid"), "entries")
+    # most keys are of one line; only the others' entries and lines go on
+    shared = entries.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low <> high").select("key")
+    met = stored(entries.join(shared, "key"), "met")
+    heads = met.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("lid"))).alias("first_own"), F.min("lid").alias("first_any")).where("first_own is not null")
+    wanted = met.select("lid").distinct()
+    near = stored(near.join(wanted, "lid", "left_semi").select("lid", "n", "line", letters(F.col("line")).alias("letters")), "wanted")
+    live = stored(met.join(heads, "key").join(near.select("lid", "letters"), "lid"), "live")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = near.select(F.col("lid").alias("a"), F.col("line").alias("x"), "n")
@@ -171,22 +175,30 @@ def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
     return settled.union(verified(rest)).distinct()
 
 
+def _place(row: Column, pos: Column) -> Column:
+    """A number in order of (row, pos): 20 bits of the row's partition, 21 of its place there
+    and 22 of the line's. More of them end the job; none is cut off."""
+    part, at = F.shiftright(row, 33), row.bitwiseAND(F.lit((1 << 33) - 1))
+    fits = (part < 1 << 20) & (at < 1 << 21) & (pos < 1 << 22)
+    number = F.shiftleft(part, 43).bitwiseOR(F.shiftleft(at, 22)).bitwiseOR(pos.cast("long"))
+    return F.when(fits, number).otherwise(F.raise_error(F.lit("more lines or rows than places have bits: use more partitions")).cast("long"))
+
+
 def dedup_lines(docs: DataFrame, threshold: int = 2, min_near: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, n_equal, n_near, kept): how many lines an equal or else a near one
     precedes, and the text without them."""
     if not 0 <= threshold <= 4:
         raise ValueError(f"a threshold from 0 to 4 is needed, not {threshold}")
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.monotonically_increasing_id()), "rows")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = stored(texts.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
     split = F.split("text", "\n")
-    places = rows.select("doc_id", "row", F.posexplode(split).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
-    hashed = places.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"), F.length("line"))})
-    place = F.struct("doc_id", "row", "pos")
-    distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "pos", "line")).alias("m"))
-    ordered = distinct.select("h1", "h2", F.struct("m.doc_id", "m.row", "m.pos").alias("first"), F.col("m.line").alias("line"), F.length("m.line").alias("n")).repartitionByRange("first").sortWithinPartitions("first")
-    lines = stored(ordered.withColumn("lid", F.monotonically_increasing_id()), "lines")
+    places = rows.select("row", F.posexplode(split).alias("pos", "line")).where(F.length(F.trim("line")) > 0)
+    hashed = places.withColumns({"place": _place(F.col("row"), F.col("pos")), "h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("line"), F.col("line"), F.length("line"))})
+    distinct = hashed.groupBy("h1", "h2").agg(F.min(F.struct("place", "row", "pos", "line")).alias("m"))
+    lines = stored(distinct.select("h1", "h2", F.struct("m.row", "m.pos").alias("first"), F.col("m.line").alias("line"), F.length("m.line").alias("n"), F.col("m.place").alias("lid")), "lines")
     near = stored(near_lines(lines.select("lid", "line", "n"), threshold, min_near), "near")
     judged = lines.select("h1", "h2", "first", "lid").join(near.withColumn("near", F.lit(True)), "lid", "left").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    found = hashed.select("h1", "h2", "row", "pos", place.alias("place")).join(judged, ["h1", "h2"]).select("row", "pos", (F.col("place") != F.col("first")).alias("equal"), "near").where("equal or near")
+    found = hashed.select("h1", "h2", "row", "pos").join(judged, ["h1", "h2"]).select("row", "pos", (F.struct("row", "pos") != F.col("first")).alias("equal"), "near").where("equal or near")
     gone = found.groupBy("row").agg(F.collect_list("pos").alias("gone"), F.count_if("equal").alias("n_equal"), F.count_if(~F.col("equal")).alias("n_near"))
     joined = rows.join(gone, "row", "left").withColumn("lines", F.explode(F.array(split)))  # a column, as lambdas compute what they refer to anew
     all_ = F.sequence(F.lit(0), F.size("lines") - 1)
