@@ -50,10 +50,16 @@ def _part(line: Column, start: Column, size: Column) -> Column:
     return F.substr(line, (start - 1) * 4 + 1, size * 4)
 
 
+def index_keys(line: Column, n: Column, threshold: int) -> Column:
+    """Keys of the line's own segments."""
+    parts = threshold + 1
+    return F.array(*(_key(n, i, _part(line, *_segment(n, i, parts))) for i in range(parts)))
+
+
 def line_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column:
-    """(key, own) of the substrings that can be a segment of a line as long or shorter: those
-    that leave no more edits on either side than the segments there allow; ``own``: it is
-    the line's own segment."""
+    """Keys of the substrings that can be a segment of a line as long or shorter, its own
+    among them: those that leave no more edits on either side than the segments there
+    allow. Null where none fits."""
     out = []
     for less in range(threshold + 1):
         size_of = n - less
@@ -62,9 +68,9 @@ def line_keys(line: Column, n: Column, threshold: int, min_near: int) -> Column:
             low, high = max(-i, less - (threshold - i)), min(i, less + (threshold - i))
             for off in range(low, high + 1):
                 at = start + off
-                entry = F.struct(_key(size_of, i, _part(line, at, size)).alias("key"), F.lit(less == off == 0).alias("own"))
-                out.append(entry if less == off == 0 else F.when((at >= 1) & (at + size - 1 <= n) & (size_of >= min_near), entry))
-    return F.array_compact(F.array(*out))
+                fits = (at >= 1) & (at + size - 1 <= n) & (size_of >= min_near)
+                out.append(F.when(fits, _key(size_of, i, _part(line, at, size))))
+    return F.array(*out)
 
 
 #: Letters whose counts are compared, 8 bits each.
@@ -148,15 +154,17 @@ def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
     """(lid): lines that an earlier one is near to. ``lines``: (lid, line, n), distinct, in
     order of lid."""
     near = lines.where(F.col("n") >= min_near)
-    keys = F.explode(line_keys(F.encode("line", "UTF-32"), F.col("n"), threshold, min_near)).alias("e")
-    entries = stored(near.select("lid", keys).select("e.key", "e.own", "lid"), "entries")
-    # most keys are of one line; only the others' entries and lines go on
-    shared = entries.groupBy("key").agg(F.min("lid").alias("low"), F.max("lid").alias("high")).where("low <> high").select("key")
-    met = stored(entries.join(shared, "key"), "met")
-    heads = met.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("lid"))).alias("first_own"), F.min("lid").alias("first_any")).where("first_own is not null")
-    wanted = met.select("lid").distinct()
-    near = stored(near.join(wanted, "lid", "left_semi").select("lid", "n", "line", letters(F.col("line")).alias("letters")), "wanted")
-    live = stored(met.join(heads, "key").join(near.select("lid", "letters"), "lid"), "live")
+    wide = near.select("lid", "n", F.encode("line", "UTF-32").alias("wide"))
+    entries = stored(wide.select("lid", F.explode(line_keys(F.col("wide"), F.col("n"), threshold, min_near)).alias("key")).where("key is not null"), "entries")
+    # most keys are of one line; only the others' entries and lines go on. These keys are
+    # stored, so that Spark knows their size: few are broadcast, many shuffled
+    shared = stored(entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "shared")
+    met = stored(entries.join(shared, "key").distinct(), "met")
+    near = stored(near.join(met.select("lid").distinct(), "lid", "left_semi").select("lid", "n", "line", letters(F.col("line")).alias("letters")), "wanted")
+    own = near.select("lid", F.explode(index_keys(F.encode("line", "UTF-32"), F.col("n"), threshold)).alias("key")).distinct().withColumn("is_own", F.lit(True))
+    marked = stored(met.join(own, ["key", "lid"], "left").select("key", "lid", F.coalesce("is_own", F.lit(False)).alias("own")), "marked")
+    heads = marked.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("lid"))).alias("first_own"), F.min("lid").alias("first_any")).where("first_own is not null")
+    live = stored(marked.join(heads, "key").join(near.select("lid", "letters"), "lid"), "live")
 
     def verified(pairs: DataFrame) -> DataFrame:
         one = near.select(F.col("lid").alias("a"), F.col("line").alias("x"), "n")
