@@ -154,7 +154,7 @@ def near_lines(lines: DataFrame, threshold: int, min_near: int) -> DataFrame:
     """(lid): lines that an earlier one is near to. ``lines``: (lid, line, n), distinct, in
     order of lid."""
     near = lines.where(F.col("n") >= min_near)
-    wide = near.select("lid", "n", F.encode("line", "UTF-32").alias("wide"))
+    wide = near.select("lid", "n", F.explode(F.array(F.encode("line", "UTF-32"))).alias("wide"))  # encoded once, not for each key
     entries = stored(wide.select("lid", F.explode(line_keys(F.col("wide"), F.col("n"), threshold, min_near)).alias("key")).where("key is not null"), "entries")
     # most keys are of one line; only the others' entries and lines go on. These keys are
     # stored, so that Spark knows their size: few are broadcast, many shuffled
