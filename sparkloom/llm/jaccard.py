@@ -191,26 +191,34 @@ def cross_links(sets: DataFrame, stars: DataFrame, groups: DataFrame, threshold:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cells = [_tokens(x.as_py()) for x in batch.column("tokens")]
+                full = np.array([len(c) for c in cells], np.int64)
                 if not whole:  # a prefix of the sorted set: n - need + 1 tokens, of which the unshared ones are left out
                     n = np.array(batch.column("n").to_pylist(), np.int64)
                     cells = [c[: max(0, len(c) - int(k) + 1)] for c, k in zip(cells, need(n, threshold))]
                 count = np.array([len(c) for c in cells], np.int64)
                 which = pa.array(np.repeat(np.arange(len(cells)), count))
                 token = np.concatenate(cells).view(np.int64) if len(cells) else np.zeros(0, np.int64)
+                left = np.repeat(full + np.cumsum(count) - count, count) - np.arange(len(token))
                 step = 1 << 18
                 for low in range(0, len(token), step):
                     at = which.slice(low, step)
-                    yield pa.RecordBatch.from_arrays([pa.array(token[low : low + step]), *(batch.column(c).take(at) for c in ("sid", "g", "members"))], ["token", "sid", "g", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(token[low : low + step]), *(batch.column(c).take(at) for c in ("sid", "n", "g", "members")), pa.array(left[low : low + step])], ["token", "sid", "n", "g", "members", "left"])
 
         return run
 
-    schema = "token long, sid long, g long, members long"
+    num, den = threshold.numerator, threshold.denominator
+    # left: this token and the shared ones after it, in the order of rarity
+    schema = "token long, sid long, n long, g long, members long, left long"
     prefix = grouped.select("sid", "n", "tokens", "g", "members").mapInArrow(rows(False), schema)
     mixed = prefix.groupBy("token").agg(F.min("g").alias("low"), F.max("g").alias("high")).where("low <> high").select("token")
     probes = stored(prefix.join(mixed, "token", "left_semi"), "probes")
-    matrix = probes.select("token", F.col("g").alias("g2"), F.col("members").alias("members2")).distinct()
+    matrix = probes.groupBy("token", F.col("g").alias("g2")).agg(F.first("members").alias("members2"), F.max("left").alias("left2"), F.min("n").alias("low2"), F.max("n").alias("high2"))
+    # of a linked pair, the first common token has enough others after it on both sides
+    enough = F.least("left", "left2") * (num + den) >= (F.col("n") + F.col("low2")) * num
+    sized = (F.col("low2") * num <= F.col("n") * den) & (F.col("high2") * den >= F.col("n") * num)
     # the smaller group asks the larger one
-    found = probes.join(matrix, "token").where("g <> g2 and (members < members2 or members = members2 and g < g2)").select("sid", "g2").distinct()
+    smaller = "g <> g2 and (members < members2 or members = members2 and g < g2)"
+    found = probes.join(matrix, "token").where(smaller).where(enough & sized).select("sid", "g2").distinct()
     found = stored(found, "candidates")
     asked = grouped.join(found.select("sid").distinct(), "sid", "left_semi").mapInArrow(rows(True), schema).select("token", "sid").join(found, "sid")
     entries = grouped.join(found.select(F.col("g2").alias("g")).distinct(), "g", "left_semi").select("sid", "n", "tokens", "g", "members").mapInArrow(rows(True), schema)
@@ -219,7 +227,6 @@ def cross_links(sets: DataFrame, stars: DataFrame, groups: DataFrame, threshold:
     within = overlap.groupBy("sid", "g2").agg(F.count(F.lit(1)).alias("bound"), F.count_if(F.col("holders") >= COMMON).alias("common"))
     of_query = grouped.select(F.col("sid").alias("a"), "n", "tokens")
     of_member = grouped.select(F.col("sid").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("tokens2"), F.col("g").alias("g2"), "members")
-    num, den = threshold.numerator, threshold.denominator
     queries = of_query.select("a", "n").join(within.withColumnRenamed("sid", "a"), "a").where(F.col("bound") * den >= F.col("n") * num)
     queries = stored(queries.select("a", "n", "g2", "common"), "queries")
     close = (F.col("n2") * den >= F.col("n") * num) & (F.col("n") * den >= F.col("n2") * num)
