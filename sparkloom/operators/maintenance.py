@@ -149,13 +149,14 @@ def execute(spark: SparkSession, plan: Plan, fail_at: int | None = None) -> Outc
     if not old:
         return Outcome(plan.operation, 0, 0, [], [], plan.skipped)
     part, o = data.partition_columns(), plan.options
-    df = data.read(old)
+    schema = data.schema(old)
+    df = data.read(old, schema=schema)
     before = df.count()
     expect: int | None = before
     size = sum(f.size for f in plan.snapshot)
     frames: list[DataFrame]
     if plan.operation == "compaction":
-        frames = [_sized(data.read([f.path for f in g.files]), part, sum(f.size for f in g.files), plan.target_bytes) for g in plan.groups]
+        frames = [_sized(data.read([f.path for f in g.files], schema=schema), part, sum(f.size for f in g.files), plan.target_bytes) for g in plan.groups]
     elif plan.operation in ("deduplication", "optimize"):
         kept = first_of_keys(df, o["keys"], o["order_by"], part) if plan.operation == "deduplication" or o["keys"] else df
         expect = kept.count() if kept is not df else before
@@ -164,11 +165,12 @@ def execute(spark: SparkSession, plan: Plan, fail_at: int | None = None) -> Outc
         kept = first_of_keys(df, o["keys"], o["order_by"], []) if o["keys"] else df
         expect = kept.count() if o["keys"] else before
         part = o["partition_by"]
-        frames = [kept.withColumns(o["derived"]).repartition(*[F.col(f"`{p}`") for p in part])]
+        frames = [_sized(kept.withColumns(o["derived"]), part, size, plan.target_bytes)]
     elif plan.operation == "ordered compaction":
         own = df.withColumns({"__f": F.col("_metadata.file_path"), "__r": F.col("_metadata.row_index")})
         order = [*[F.col(f"`{p}`") for p in part], *sort_columns(o["sort_by"], df.schema), F.col("__f"), F.col("__r")]
-        ranged = own.repartitionByRange(max(1, round(size / plan.target_bytes)), *order) if not part else own.repartition(*[F.col(f"`{p}`") for p in part])
+        # ranges of (partition, sort columns): a large partition is cut into several sorted runs
+        ranged = own.repartitionByRange(max(1, round(size / plan.target_bytes)), *order)
         frames = [ranged.sortWithinPartitions(*order).drop("__f", "__r")]
     else:
         frames = [_rewritten(df, o["schema"], o["policy"], part)]
@@ -187,13 +189,22 @@ def _rewritten(df: DataFrame, schema: T.StructType, policy: str, part: list[str]
     return cast_to(df, schema, strict=policy != "loose")
 
 
-def in_order(df: DataFrame, sort_by: list[str]) -> bool:
-    """Whether rows, by file and place in it, are sorted."""
-    key = F.struct(*[c for s in sort_by for c in (F.col(s.lstrip("+-")).isNull(), F.col(s.lstrip("+-")))])
-    order = Window.partitionBy("_f").orderBy("_r")
-    rows = df.select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.row_index").alias("_r"), key.alias("k"))
-    late = F.lag("k").over(order) > F.col("k") if not sort_by[0].startswith("-") else F.lag("k").over(order) < F.col("k")
-    return rows.select(late.alias("late")).where("late").isEmpty()
+def in_order(df: DataFrame, sort_by: list[str], within: list[str] | None = None) -> bool:
+    """Whether rows, by file and place in it, are sorted: each file in itself, and files of a
+    partition (``within``) one after another. Each file's rows are compared with the one
+    before; of files only the first and last rows are."""
+    columns = sort_columns(sort_by, df.schema)
+    held = df.select(F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"), *[f"`{c}`" for c in dict.fromkeys(s.lstrip("+-") for s in sort_by)], *[F.col(f"`{p}`").alias(f"__p{i}") for i, p in enumerate(within or [])])
+    key = [F.row_number().over(Window.partitionBy("__f").orderBy(*columns, "__r")).alias("__n"), F.row_number().over(Window.partitionBy("__f").orderBy("__r")).alias("__m")]
+    if not held.select(*key).where("__n <> __m").isEmpty():
+        return False
+    own = [f"__p{i}" for i in range(len(within or []))]
+    names = [c for c in held.columns if c not in ("__f", "__r", *own)]
+    edge = held.groupBy("__f", *own).agg(F.min_by(F.struct(*[f"`{c}`" for c in names]), "__r").alias("a"), F.max_by(F.struct(*[f"`{c}`" for c in names]), "__r").alias("z"))
+    both = edge.select("__f", *own, F.explode(F.array(F.struct(F.lit(0).alias("e"), F.col("a").alias("k")), F.struct(F.lit(1).alias("e"), F.col("z").alias("k")))).alias("x")).select("__f", *own, "x.e", "x.k.*")
+    ends = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
+    ranked = both.select(F.rank().over(ends.orderBy(*columns)).alias("n"), F.row_number().over(ends.orderBy("__f", "e")).alias("m"), F.count(F.lit(1)).over(ends.orderBy(*columns)).alias("last"))
+    return ranked.where("m < n or m > last").isEmpty()
 
 
 RUN: dict[str, Callable[..., Plan]] = {"compact": plan_compaction, "deduplicate": plan_deduplication, "repartition": plan_repartition, "order": plan_ordered_compaction, "rewrite_schema": plan_schema_rewrite, "optimize": plan_optimize}

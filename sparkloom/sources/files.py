@@ -8,10 +8,16 @@ checked, and moved in; what they replace waits beside them until that is done.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.functions.schemas import lossless, unify
 
 
 class DriftError(RuntimeError):
@@ -63,9 +69,35 @@ class Dataset:
         first = next(iter(self.infos()), None)
         return [p.split("=", 1)[0] for p in first.partition.split("/") if "=" in p] if first else []
 
-    def read(self, files: list[str] | None = None, with_file: bool = False) -> DataFrame:
-        reader = self.spark.read.option("basePath", self.root.toString())
-        df = reader.parquet(*(files or [self.root.toString()]))
+    def schema(self, files: list[str]) -> T.StructType:
+        """One schema that holds every value of every file, partition columns last, as text
+        as their folders spell them. Footers are merged by one distributed job; only where
+        types differ are files looked at one by one. ``ValueError`` if no type holds all."""
+        part = self.partition_columns()
+        try:
+            found = [self.spark.read.option("mergeSchema", True).parquet(*files).schema]
+        except AnalysisException as e:
+            # Spark merges no types, only columns
+            if e.getCondition() not in ("CANNOT_MERGE_SCHEMAS", "CANNOT_MERGE_INCOMPATIBLE_DATA_TYPE", "FAILED_MERGE_SCHEMAS", "PARQUET_CANNOT_MERGE_SCHEMAS"):
+                raise
+            found = self._each(files)
+        except Py4JJavaError:
+            found = self._each(files)
+        own = [T.StructType([f for f in s.fields if f.name not in part]) for s in found]
+        goal = unify(own)
+        lost = sorted({f.name for s in own for f in s.fields if not lossless(f.dataType, goal[f.name].dataType)})
+        if lost:
+            raise ValueError(f"no type holds all values of {lost}")
+        return T.StructType([*goal.fields, *(T.StructField(p, T.StringType()) for p in part)])
+
+    def _each(self, files: list[str]) -> list[T.StructType]:
+        with ThreadPoolExecutor(16) as pool:
+            return list(pool.map(lambda f: self.spark.read.parquet(f).schema, files))
+
+    def read(self, files: list[str] | None = None, with_file: bool = False, schema: T.StructType | None = None) -> DataFrame:
+        """The rows of the files under their common schema (``schema``)."""
+        files = files or self.files()
+        df = self.spark.read.option("basePath", self.root.toString()).schema(schema or self.schema(files)).parquet(*files)
         return df.withColumn("__file", F.col("_metadata.file_path")) if with_file else df
 
     def _stage(self, df: DataFrame, partition_by: list[str], max_rows: int, stage: str, name: str) -> str:
@@ -89,6 +121,11 @@ class Dataset:
                 have = sum(self.spark.read.parquet(o).count() for o in outs)
                 if have != expect:
                     raise ValueError(f"{have} rows staged, {expect} expected")
+            for o, df in zip(outs, frames):
+                goal = {f.name: f.dataType for f in df.schema.fields if f.name not in partition_by}
+                have_types = {f.name: f.dataType for f in self.spark.read.parquet(o).schema.fields if f.name not in partition_by}
+                if self._listed(o) and goal != have_types:
+                    raise ValueError(f"staged columns {sorted(have_types)} are not {sorted(goal)}")
             if snapshot is not None:
                 now = {f.path: (f.size, f.modified) for f in self.infos()}
                 if any(now.get(f.path) != (f.size, f.modified) for f in snapshot):
@@ -112,9 +149,17 @@ class Dataset:
             self.fs.delete(staged_root, True)
             raise
         self.fs.delete(staged_root, True)
+        for folder in sorted({f.rpartition("/")[0] for f in old}, key=len, reverse=True):
+            self._drop_empty(folder)
         self.spark.catalog.refreshByPath(self.root.toString())
         return sorted(moved)
 
+    def _drop_empty(self, folder: str) -> None:
+        """Removes a partition's folder, and those above it, once no file is left in it."""
+        while self.relative(folder) and self.fs.exists(self._path(folder)) and not self.fs.listStatus(self._path(folder)):
+            self.fs.delete(self._path(folder), False)
+            folder = folder.rpartition("/")[0]
+
     def _below(self, path: str, out: str) -> str:
         return self._path(path).toUri().getPath().removeprefix(self._path(out).toUri().getPath()).strip("/")
 

@@ -1,4 +1,5 @@
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -95,7 +96,7 @@ def test_maintenance(spark, tmp_path):
     done = maintenance.maintain(spark, "deduplicate", path, keys=["id"])
     assert (done.rows_before, done.rows_after) == (110, 100)
     maintenance.maintain(spark, "order", path, sort_by=["-id"], max_rows=20)
-    assert maintenance.in_order(spark.read.parquet(path), ["-id"]) and file_stats(spark, path).agg(F.max("n_rows")).first()[0] <= 20
+    assert maintenance.in_order(spark.read.parquet(path), ["-id"], ["p"]) and file_stats(spark, path).agg(F.max("n_rows")).first()[0] <= 20
     maintenance.maintain(spark, "repartition", path, partition_by=["v"])
     assert Dataset(spark, path).partition_columns() == ["v"] and spark.read.parquet(path).count() == 100
     goal = T.StructType.fromDDL("id int, p string")
@@ -131,3 +132,38 @@ def test_stream_of_files(spark, tmp_path):
     for _ in range(2):
         each_batch(spark, path, spark.range(1).schema, lambda df, i: seen.append(df.count()), str(tmp_path / "c"), 1)
     assert sum(seen) == 40
+
+
+def test_compaction_keeps_columns_and_partition_names(spark, tmp_path):
+    """Files of differing columns and types; partitions spelled with zeros, under Spark's own inference."""
+    path, name = f"{tmp_path}/mixed", "spark.sql.sources.partitionColumnTypeInference.enabled"
+    spark.conf.set(name, "true")
+    try:
+        for i, (p, cols) in enumerate([("01", "id as a"), ("01", "cast(id as int) as a, cast(id as string) as b"), ("02", "id as a"), ("02", "id as a, 'x' as b")]):
+            spark.range(i * 10, i * 10 + 10).selectExpr(*[c.strip() for c in cols.split(", ")]).coalesce(1).write.mode("append").parquet(f"{path}/p={p}")
+        maintenance.maintain(spark, "compact", path)
+        data = Dataset(spark, path)
+        assert sorted({f.partition for f in data.infos()}) == ["p=01", "p=02"] and len(data.files()) == 2
+        rows = sorted(map(tuple, data.read().select("a", "b", "p").collect()))
+        assert rows == sorted((i, str(i) if 10 <= i < 20 else "x" if i >= 30 else None, "01" if i < 20 else "02") for i in range(40))
+        spark.range(3).selectExpr("'t' as a").coalesce(1).write.mode("append").parquet(f"{path}/p=02")
+        before = data.files()
+        with pytest.raises(ValueError, match="holds all values"):
+            maintenance.maintain(spark, "compact", path)
+        assert data.files() == before
+    finally:
+        spark.conf.set(name, "false")
+
+
+def test_empty_folders_go_and_order_holds_across_files(spark, tmp_path):
+    path = f"{tmp_path}/moved"
+    spark.range(100).selectExpr("id % 4 as p", "id", "-id as v").write.partitionBy("p").parquet(path)
+    maintenance.maintain(spark, "repartition", path, partition_by=["q"], derived={"q": F.expr("id % 2")})
+    assert sorted(x.name for x in Path(path).iterdir() if x.is_dir()) == ["q=0", "q=1"]
+    flat = f"{tmp_path}/flat"
+    spark.range(200).selectExpr("id % 7 as a", "id as b").repartition(4).write.parquet(flat)
+    assert not maintenance.in_order(spark.read.parquet(flat), ["a", "-b"])
+    maintenance.maintain(spark, "order", flat, sort_by=["a", "-b"], target_bytes=1500)
+    assert len(Dataset(spark, flat).files()) > 1
+    assert maintenance.in_order(spark.read.parquet(flat), ["a", "-b"])
+    assert not maintenance.in_order(spark.read.parquet(flat), ["-a"])
