@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,7 +14,7 @@ from sparkloom.functions import frames, partitions
 from sparkloom.functions.predicates import predicate
 from sparkloom.functions.schemas import cast_to, drop_null_columns, infer_dtypes, union_all
 from sparkloom.operators import keys, maintenance, merge
-from sparkloom.sources.read import read_dataset, read_files, sql
+from sparkloom.sources.read import file_stats, read_dataset, read_files, sql
 from sparkloom.sources.write import write_dataset
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -92,9 +92,9 @@ def _(s, d):
     return keys.matching(t(s, d, "orders"), c, ["o_custkey"]).select("o_orderkey")
 
 
-@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def _(s, d):
-    return keys.missing_from(t(s, d, "customer").select("c_custkey"), t(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
+    return keys.missing_from(t(s, d, "customer").select("c_custkey"), t(s, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
 @query("null_safe_join", "WITH e AS (SELECT event_id, nullif(user_id % 7, 0) AS k FROM events) SELECT event_id, k FROM e WHERE EXISTS (SELECT 1 FROM (SELECT nullif(n_nationkey % 3, 0) AS k FROM nation) n WHERE n.k IS NOT DISTINCT FROM e.k)")
@@ -154,6 +154,8 @@ def _(s, d):
 def folder(s: SparkSession) -> str:
     """A new folder in the one that driver and executors share; a temporary one where none is set."""
     shared = s.conf.get("spark.checkpoint.dir", None)
+    if not shared and not s.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{shared.rstrip('/')}/data-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="sparkloom-")
 
 
@@ -286,11 +288,71 @@ def _(s, d):
     return s.read.parquet(path).select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_quantity", "l_returnflag")
 
 
-@query("order_dataset", ALL_TWICE)
+@query("order_dataset", f"SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC, l_orderkey, l_linenumber) AS place FROM ({ALL_TWICE})")
 def _(s, d):
+    """``place``: where rows stand, by file and row."""
     path = small_files(s, d)
-    maintenance.maintain(s, "order", path, sort_by=["-l_quantity", "l_orderkey"])
-    return s.read.parquet(path).select(*L)
+    maintenance.maintain(s, "order", path, sort_by=["-l_quantity", "l_orderkey", "l_linenumber"], target_bytes=1 << 18)
+    stands = Window.partitionBy("l_returnflag").orderBy("file", "row")
+    read = s.read.parquet(path).select(*L, F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    return read.withColumn("place", F.row_number().over(stands).cast("long")).select(*L, "place")
+
+
+@query("compact_mixed_schemas", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus END AS o_orderstatus, o_orderkey % 100 AS k, CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice END AS o_totalprice FROM orders")
+def _(s, d):
+    """Files with columns that others lack, and k as int in some, bigint in others."""
+    o, path = t(s, d, "orders"), folder(s)
+    k = F.col("o_orderkey") % 100
+    for i, columns in enumerate([["o_orderkey", k.cast("int").alias("k")], ["o_orderkey", "o_orderstatus", k.alias("k")], ["o_orderkey", "o_orderstatus", k.alias("k"), "o_totalprice"]]):
+        o.where(F.col("o_orderkey") % 3 == i).select(*columns).repartition(2, "o_orderkey").write.mode("append").parquet(path)
+    maintenance.maintain(s, "compact", path)
+    return s.read.parquet(path).select("o_orderkey", "o_orderstatus", "k", "o_totalprice")
+
+
+@query("compact_text_partitions", "SELECT o_orderkey, printf('m=%02d', month(o_orderdate)) AS folder FROM orders")
+def _(s, d):
+    """Partitions that are spelled with zeros keep their names."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM").alias("m")).repartition(3, "o_orderkey"), path, partition_by=["m"])
+    maintenance.maintain(s, "compact", path)
+    return s.read.parquet(path).select("o_orderkey", F.regexp_extract("_metadata.file_path", "/(m=[^/]*)/", 1).alias("folder"))
+
+
+@query("deduplicate_globally", "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1")
+def _(s, d):
+    """The last order of each customer in the whole dataset, under other partitions."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", "o_orderpriority").repartition(3, "o_orderkey"), path, partition_by=["o_orderpriority"])
+    maintenance.maintain(s, "repartition", path, partition_by=["o_orderstatus"], dedup_keys=["o_custkey"], order_by=["-o_orderkey"])
+    return s.read.parquet(path).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("rewrite_schema_loose", "SELECT o_orderkey, try_cast(o_orderkey AS TINYINT) AS small FROM orders")
+def _(s, d):
+    """Values that do not fit the narrower type become null."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", F.col("o_orderkey").alias("small")), path)
+    goal = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("small", T.ByteType())])
+    maintenance.maintain(s, "rewrite_schema", path, schema=goal, policy="loose")
+    return s.read.parquet(path)
+
+
+@query("rewrite_schema_safe", "SELECT o_orderkey, (o_orderkey % 100)::TINYINT AS small FROM orders")
+def _(s, d):
+    """A narrower type that every value fits."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).alias("small")), path)
+    goal = T.StructType([T.StructField("o_orderkey", T.LongType()), T.StructField("small", T.ByteType())])
+    maintenance.maintain(s, "rewrite_schema", path, schema=goal, policy="safe")
+    return s.read.parquet(path)
+
+
+@query("stats_of_files", "SELECT CAST(count(*) AS BIGINT) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, CAST(0 AS BIGINT) AS nulls FROM orders")
+def _(s, d):
+    """Statistics of files, added up."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey").repartition(4, "o_orderkey"), path)
+    return file_stats(s, path, ["o_orderkey"]).agg(F.sum("n_rows").alias("n"), F.min("o_orderkey_min").alias("low"), F.max("o_orderkey_max").alias("high"), F.sum("o_orderkey_nulls").alias("nulls"))
 
 
 @query("rewrite_schema", "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_quantity, l_returnflag FROM lineitem")
@@ -322,7 +384,7 @@ PASSED = {
     "sql_window_rank": "SELECT o_orderkey, rank() OVER (PARTITION BY o_orderstatus ORDER BY o_orderdate) AS r FROM orders",
     "sql_running_sum": "SELECT l_orderkey, l_linenumber, l_quantity, sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity ROWS UNBOUNDED PRECEDING) AS q FROM lineitem",
     "sql_intersect": "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders",
-    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "sql_except": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'",
     "sql_scalar_subquery": "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)",
     "sql_exists": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)",
     "sql_topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20",
