@@ -11,7 +11,8 @@ fingerprints within the radius some block differs in no more bits than that, so
 finds every item of the window's length within the radius. Those are verified by exact
 weighted Jaccard similarity of the shingles. What the radius itself passes over is lost.
 
-The benchmark is broadcast only while it has at most ``MOST`` shingles; a larger one is
+The benchmark and its index are broadcast only while it has at most ``MOST`` shingles and
+``MOST_ITEMS`` items; a larger one is
 joined by shuffles of (row, place, hash) alone. Otherwise documents are not shuffled:
 only stretches of two windows are, around shared shingles.
 
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.shared import stored, table
 
-BLOCKS, MOST = 7, 500_000
+BLOCKS = 7
+#: Shingles and items that are broadcast at most: an item has some 320 rows of the index.
+MOST, MOST_ITEMS = 500_000, 5_000
 #: The bits at which blocks of a fingerprint begin.
 EDGES = [round(i * 64 / BLOCKS) for i in range(BLOCKS + 1)]
 
@@ -104,8 +107,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 5, radius: int
     window at or over the threshold; ``key``: xxhash64 of the row's text."""
     raw = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).cast("string").alias("t"))
     items = _shingles(raw, F.col("t"), size).select("item", "n", F.col("h").alias("h2"))
-    total = items.agg(F.sum(F.size("h2")).alias("s"), F.collect_set(F.least("n", F.lit(size))).alias("k")).first()
-    large = (total.s or 0) > MOST
+    total = items.agg(F.sum(F.size("h2")).alias("s"), F.count(F.lit(1)).alias("c"), F.collect_set(F.least("n", F.lit(size))).alias("k")).first()
+    large = (total.s or 0) > MOST or total.c > MOST_ITEMS
     small = (lambda df: df) if large else F.broadcast
     prints = items.withColumn("fp", _fingerprint(F.col("h2")))
     index = _index(prints, radius)
