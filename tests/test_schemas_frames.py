@@ -9,7 +9,7 @@ from sparkloom.functions.schemas import cast_to, common_type, drop_null_columns,
 
 
 @pytest.mark.parametrize("types, want", [(["int", "bigint"], "bigint"), (["int", "string"], "string"), (["float", "int"], "float"), (["float", "bigint"], "double"), (["date", "timestamp_ntz"], "timestamp_ntz"), (["decimal(5,2)", "decimal(8,1)"], "decimal(9,2)"), (["array<int>", "array<bigint>"], "array<bigint>")])
-def test_common_type(types, want):
+def test_common_type(spark, types, want):
     found = common_type([T._parse_datatype_string(t) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(f"a {t}")["a"].dataType for t in types])
     assert (found or T.StringType()).simpleString() == want
 
