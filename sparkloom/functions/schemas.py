@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WHOLE = [T.ByteType, T.ShortType, T.IntegerType, T.LongType]
-NULL_WORDS = ["", "-", "None", "none", "NONE", "NaN", "Nan", "nan", "NAN", "N/A", "n/a", "Null", "NULL", "null"]
+#: Texts that stand for no value. Inference gives the types users expect only
+#: with just these.
+NULL_WORDS = ["-", "", "None", "none", "NONE", "NaN", "Nan", "nan", "NAN", "N/A", "n/a", "null", "Null", "NULL"]
 
 
 def common_type(types: list[T.DataType]) -> T.DataType | None:

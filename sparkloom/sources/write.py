@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.files import Dataset
 
-CODECS = ("snappy", "gzip", "zstd", "lz4", "brotli", "none", "uncompressed")
+#: The codec names that users may give.
+CODECS = ("snappy", "gzip", "lz4", "zstd", "brotli", "uncompressed", "none")
 MODES = {"append": "append", "overwrite": "overwrite", "error_if_exists": "errorifexists", "delete_matching": "overwrite"}
 
 
