@@ -594,11 +594,12 @@ def _groups(media: list[bytes], limit: int) -> Iterator[slice]:
 
 
 def decode_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media", on_error: str = "raise", batch_bytes: int = 4 << 20) -> DataFrame:
-    """PCM blocks of a column of FLAC streams, a row each."""
+    """PCM blocks of a column of FLAC streams, a row each. A null stream has none; an empty
+    one is no FLAC stream: an error, or with "skip" a row that names it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, media = batch.column(0), [m or b"" for m in batch.column(1).to_pylist()]
+            ids, media = batch.column(0), batch.column(1).to_pylist()
             for g in _groups(media, batch_bytes):
                 errors: dict[int, str] | None = {} if on_error == "skip" else None
                 rows = []
@@ -612,7 +613,7 @@ def decode_blocks(df: DataFrame, id_col: str = "doc_id", media_col: str = "media
     TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
     NAMES = ["id", "block", "first_sample", "n_samples", "byte_offset", "rate", "channels", "bits", "pcm", "error"]
     schema = f"id {df.schema[id_col].dataType.simpleString()}, block int, first_sample long, n_samples int, byte_offset long, rate int, channels int, bits int, pcm binary, error string"
-    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).where("media is not null").mapInArrow(run, schema)
 
 
 def features(pcm: np.ndarray) -> str:

@@ -68,6 +68,12 @@ def test_flac_of_noise_and_damage():
         assert [i for i, _, _ in flac.decode([streams[3], bytes(bad)], errors)] == [0] and list(errors) == [1]
 
 
+def test_streams_that_are_null_or_empty(spark):
+    media = spark.createDataFrame([(1, None), (2, b"")], "doc_id long, media binary")
+    assert flac.decode_blocks(media.where("doc_id = 1")).count() == 0
+    assert [(r.id, r.block) for r in flac.decode_blocks(media, on_error="skip").collect()] == [(2, None)]
+
+
 def test_token_files(spark):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
