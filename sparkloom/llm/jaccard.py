@@ -107,6 +107,9 @@ def shared_tokens(docs: DataFrame, size: int, text_col: str, buckets: int, thres
             for batch in _parts(whole, batch_bytes):
                 doc, token = shingle_sets(batch.column(0), size)
                 n, k1, k2 = _signatures(batch.num_rows, doc, token)
+                _, first = np.unique(np.stack([k1, k2]), axis=1, return_index=True)  # of equal sets, one
+                own = np.isin(doc, first)
+                doc, token = doc[own], token[own]
                 found = list(pack([k1, k2, n], doc, None, token, bucket_of(token << (U(64) - TOKEN_BITS), buckets), 5))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], ["bucket", "blob"])

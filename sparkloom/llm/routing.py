@@ -3,9 +3,9 @@
 An entry is (document, position, hash). Those of a batch that go to one bucket travel as
 one binary row: the documents' keys and counts, then the hashes (4 or 8 bytes each), then
 the positions as differences of a byte or more. This takes a fifth of the bytes of a row
-per entry, and numpy works on a bucket of a bounded number of entries at once. Buckets
-are dealt by hash, so all entries with equal hashes meet, while no bucket grows: their
-number follows the input.
+per entry, and numpy works on a bucket of entries at once. Buckets are dealt by hash, so
+all entries with equal hashes meet; their number follows the input. What a batch can
+judge by itself goes around the buckets (``settled``).
 """
 
 from __future__ import annotations
@@ -115,11 +115,41 @@ def by_document(keys: list[np.ndarray], run: np.ndarray, value: np.ndarray) -> t
     return [k[run[cut]] for k in keys], np.split(value, cut[1:]) if len(cut) else []
 
 
+def settled(keys: list[np.ndarray], doc: np.ndarray, at: np.ndarray, known: np.ndarray, reach: int, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Positions that a batch knows to be hits, as rows that ``hits`` passes on unjudged. Of
+    consecutive ones both ends and each ``reach``-th stay: with so many words before or after
+    each they cover the same."""
+    at_known = np.flatnonzero(known)
+    if not len(at_known):
+        return
+    d, p = doc[at_known], at[at_known]
+    new = np.r_[True, (np.diff(d) != 0) | (np.diff(p) != 1)]
+    start = np.flatnonzero(new)
+    offset = np.arange(len(p)) - np.repeat(start, np.diff(np.r_[start, len(p)]))
+    keep = (offset % reach == 0) | np.r_[new[1:], True]
+    d, p = d[keep], p[keep]
+    for b, blob in pack(keys, d, None, p.astype(np.uint64), regroup(keys[0], buckets)[d], 4):
+        yield -1 - b, blob
+
+
+def first_of(group: np.ndarray, n: int, among: np.ndarray | None = None) -> np.ndarray:
+    """For each entry, whether it is the first of its group (of those ``among`` it)."""
+    own = np.arange(len(group)) if among is None else np.flatnonzero(among)
+    first = np.full(n, -1, np.int64)
+    first[group[own[::-1]]] = own[::-1]
+    out = np.zeros(len(group), bool)
+    out[first[first >= 0]] = True
+    return out
+
+
 def hits(entries: DataFrame, width: int, buckets: int, judge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """(k1, k2, at) for each document: positions of the entries that ``judge(at, hash)``
-    picks among all entries of a bucket, as little-endian 32-bit integers."""
+    picks among all entries of a bucket, or that came as ``settled``, as little-endian 32-bit
+    integers."""
 
-    def pick(table: pa.Table) -> pa.Table:
+    def pick(key: tuple, table: pa.Table) -> pa.Table:
+        if (own := key[0].as_py()) < 0:
+            return pa.table({"bucket": pa.array([-1 - own] * table.num_rows, pa.int32()), "blob": table.column("blob")})
         keys, owner, at, h = unpack(table.column("blob").to_pylist(), 2, width)
         picked = np.flatnonzero(judge(at, h))
         to = regroup(keys[0], buckets)[owner[picked]]

@@ -6,7 +6,13 @@ non-overlapping blocks are indexed, and every rolling window of that length prob
 index (``anchors``). A hit elsewhere is extended: the full windows around it are compared
 by a 64-bit hash of their words with all others that have hits (``repeats``); runs of
 equal ones are the maximal exact repeats. A common passage costs rows in proportion to
-its occurrences, never their pairs, and its windows go to many buckets.
+its occurrences, never their pairs, and its windows go to many buckets. What occurs twice
+in a batch of documents is judged there; one entry of it goes on as a witness for other
+batches, so that a passage that a third of all documents hold sends one entry a batch to
+its bucket, not one a document.
+
+Windows count as equal by 64 bits of hash, blocks by 32 bits within a bucket; blocks only
+say which windows are looked at.
 
 Defined results. Null or empty text: no words; the kept text is empty. Texts shorter than
 a window: nothing removed. Repeated rows are two occurrences: all their windows go. A
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bytewords import SPACED, find_words, slices, spread, text_buffer, windows
-from sparkloom.llm.routing import ROWS, bucket_of, buckets_for, grouped, hits, pack, with_keys
+from sparkloom.llm.routing import ROWS, bucket_of, buckets_for, first_of, grouped, hits, pack, settled, with_keys
 from sparkloom.llm.shared import table
 
 WORDS_PER_BYTE = 0.18
@@ -51,7 +57,15 @@ def anchors(docs: DataFrame, window: int, buckets: int, batch_bytes: int = 6 <<
                 # a document that is shorter than a window has none to look for
                 long = words.counts()[doc] >= window
                 place, h, doc = place[long], h[long], doc[long]
-                found = list(pack(_keys(batch), doc, place - words.first[doc], h, bucket_of(h, buckets), 4))
+                at, keys = place - words.first[doc], _keys(batch)
+                group, n = grouped(h)
+                fixed = at % block == 0
+                anchored = np.bincount(group[fixed], minlength=n)[group]
+                # a block that rolls by twice is a repeat too; fixed places alone are witnesses
+                known = (anchored > fixed) | ~fixed & (np.bincount(group, minlength=n)[group] > 1)
+                sent = ~known | first_of(group, n, fixed)
+                found = list(pack(keys, doc[sent], at[sent], h[sent], bucket_of(h[sent], buckets), 4))
+                found += settled(keys, doc, at, known, window - block + 1, buckets)
                 if found:
                     yield _blobs(found)
 
@@ -89,7 +103,12 @@ def repeats(docs: DataFrame, found: DataFrame, window: int, buckets: int, batch_
                 keep = near[place]
                 place, h = place[keep], h[keep]
                 doc = words.doc_of()[place]
-                packed = list(pack(_keys(batch), doc, place - words.first[doc], h, bucket_of(h, buckets), 8))
+                at, keys = place - words.first[doc], _keys(batch)
+                group, n = grouped(h)
+                known = np.bincount(group, minlength=n)[group] > 1
+                sent = ~known | first_of(group, n)
+                packed = list(pack(keys, doc[sent], at[sent], h[sent], bucket_of(h[sent], buckets), 8))
+                packed += settled(keys, doc, at, known, window, buckets)
                 if packed:
                     yield _blobs(packed)
 

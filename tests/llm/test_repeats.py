@@ -10,7 +10,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.llm import components, decontaminate, jaccard, lines, substrings
+from sparkloom.llm import components, decontaminate, jaccard, lines, routing, substrings
 
 #: Names that the operators use inside.
 CLASHING = {"k1": 1, "row": "r", "n": 2, "h": 3, "at": 4, "component": 5, "bucket": 6, "t": 7, "key": 8, "x": 9, "unit": 10}
@@ -63,6 +63,25 @@ def test_substrings_of_no_rows(spark):
     assert substrings.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_a_passage_of_most_rows_sends_one_entry_a_batch(spark, monkeypatch):
+    rng = random.Random(5)
+    passage, sent = words(rng, 60), []
+    hits = substrings.hits
+    monkeypatch.setattr(substrings, "hits", lambda entries, *a: sent.append(entries) or hits(entries, *a))
+    docs = [(i, " ".join(words(rng, rng.randrange(9), 10**6) + passage + words(rng, 3, 10**6))) for i in range(1200)]
+    df = frame(spark, docs).coalesce(2)
+    got = substrings.remove_repeats(df, 35).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_repeats(docs, 35)
+
+    def entries(f):
+        blobs = [bytes(r.blob) for r in f.where("bucket >= 0").collect()]
+        return [routing.unpack([b], 2, 4 if f is sent[0] else 8)[3] for b in blobs]
+
+    for f in sent:  # the hash of a window of the passage comes once from each batch
+        most = Counter(h for part in entries(f) for h in part.tolist()).most_common(1)
+        assert not most or most[0][1] <= 4
+
+
 def shingles(text, size=5):
     w = spaced(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
