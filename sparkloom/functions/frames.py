@@ -85,6 +85,48 @@ def with_truncated_columns(df: DataFrame, column: str, durations: list[str]) ->
     return df.withColumns({f"_truncated_{d}_": truncated(F.col(column), d) for d in durations})
 
 
+#: Short and long names of units of time.
+LONG_UNITS = {"ns": "nanosecond", "us": "microsecond", "ms": "millisecond", "s": "second", "m": "minute", "h": "hour", "d": "day", "w": "week", "mo": "month", "y": "year"}
+
+
+def duration_text(duration: str, to: str = "short") -> str:
+    """A duration with the short (1h) or the long name (1 hour) of its unit; one that is not
+    known stays, apart from its number."""
+    if to not in ("short", "long"):
+        raise ValueError(f"to must be short or long, not {to}")
+    number, unit = re.fullmatch(r"\s*(\d*)\s*(.*?)\s*", duration).groups()
+    single = unit.removesuffix("s") or unit
+    if to == "long":
+        return f"{number} {LONG_UNITS.get(unit, single)}".strip()
+    if unit in LONG_UNITS:
+        return duration
+    short = next((k for k, v in LONG_UNITS.items() if v == single), None)
+    return f"{number}{short}" if short else f"{number} {unit}".strip()
+
+
+OFFSET = r"(?i)(z|[+-]\d{2}:?\d{2})$"
+
+
+def time_from_text(text: Column, zone: str | None = None, naive: bool = False) -> Column:
+    """ISO 8601 texts as times: with an offset (Z, +02:00, +0200) the instant, without one the
+    local time in ``zone`` (UTC if none). ``naive``: the time that clocks of the zone show
+    (without a zone: that of the text), without zone. What is no time becomes null."""
+    own = F.trim(text)
+    tail = F.regexp_extract(F.when(own.contains(":"), own), OFFSET, 1)
+    local = F.regexp_replace(own, OFFSET, "").try_cast("timestamp_ntz")
+    local = F.when(tail == "", own.try_cast("timestamp_ntz")).otherwise(local)
+    if naive and zone is None:
+        return F.coalesce(local, own.try_cast("timestamp_ntz"))
+    minutes = F.concat(F.substring(tail, 1, 1), F.lit("1")).try_cast("long") * (F.substring(tail, 2, 2).try_cast("int") * 60 + F.right(tail, F.lit(2)).try_cast("int"))
+    micros = F.unix_micros(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.coalesce(local, own.try_cast("timestamp_ntz"))).cast("timestamp"))
+    shift = F.when(F.length(tail) > 1, minutes * 60_000_000).otherwise(F.lit(0))
+    instant = F.timestamp_micros(micros - shift)
+    if zone:
+        in_zone = F.convert_timezone(F.lit(zone), F.current_timezone(), F.coalesce(local, own.try_cast("timestamp_ntz"))).cast("timestamp")
+        instant = F.when(F.coalesce(F.length(tail), F.lit(0)) == 0, in_zone).otherwise(instant)
+    return F.convert_timezone(None, F.lit(zone or "UTC"), instant.cast("timestamp_ntz")) if naive else instant
+
+
 PARTS = {"year": F.year, "month": F.month, "week": week_of_year, "year_day": F.dayofyear, "day": F.day, "week_day": lambda c: F.date_format(c, "E"), "hour": F.hour, "minute": F.minute}
 
 
@@ -116,3 +158,37 @@ def split_by(df: DataFrame, columns: list[str], most: int = 1000) -> list[tuple[
             cond = cond & F.col(c).eqNullSafe(F.lit(k[c]))
         out.append((k.asDict(), df.where(cond)))
     return out
+
+
+def with_split_keys(df: DataFrame, columns: list[str] | None = None, time_column: str | None = None, formats: list[str] | None = None, durations: list[str] | None = None, rows: int | None = None, order_by: list | None = None) -> tuple[DataFrame, list[str]]:
+    """The frame with the columns that it is to be split by, and their names: given columns,
+    parts of a time (year, month, ...) that are not columns yet, formats and intervals of
+    it, and numbers of runs of so many ``rows`` in an order, counted within the other keys."""
+    names = list(columns or [])
+    parts = [c for c in names if c not in df.columns]
+    if unknown := [c for c in parts if c not in PARTS]:
+        raise ValueError(f"neither columns nor parts of a time: {unknown}")
+    if parts or formats or durations:
+        found = timestamp_columns(df)
+        time_column = time_column or (found[0] if found else None)
+        if time_column is None:
+            raise ValueError("no date or time column")
+    df = with_datepart_columns(df, time_column, parts) if parts else df
+    for with_keys, asked in ((with_strftime_columns, formats), (with_truncated_columns, durations)):
+        if asked:
+            before = df.columns
+            df = with_keys(df, time_column, asked)
+            names += [c for c in df.columns if c not in before]
+    if rows:
+        if not order_by:
+            raise ValueError("runs of rows need an order")
+        df = with_row_count(df, order_by, names or None, "__nr")
+        df = df.withColumn("row_run", F.floor((F.col("__nr") - 1) / rows).cast("long")).drop("__nr")
+        names.append("row_run")
+    return df, names
+
+
+def partition_by(df: DataFrame, columns: list[str] | None = None, most: int = 1000, **keys) -> list[tuple[dict, DataFrame]]:
+    """(key, rows) for each key of ``with_split_keys``; the keys are not among the columns."""
+    keyed, names = with_split_keys(df, columns, **keys)
+    return [(k, rows.drop(*names)) for k, rows in split_by(keyed, names, most)] if names else [({}, df)]

@@ -6,6 +6,7 @@ from urllib.parse import quote, unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.frames import strftime
 
@@ -23,12 +24,33 @@ def partitions_from_path(path: str, scheme: str | list[str] = "hive") -> dict[st
 
 
 def partition_path(values: dict[str, object]) -> str:
-    return "/".join(f"{k}={NULL_NAME if v is None else quote(str(v), safe='')}" for k, v in values.items())
+    """Null and empty text share the folder that stands for no value, as Spark writes them."""
+    return "/".join(f"{k}={NULL_NAME if v is None or v == '' else quote(str(v), safe='')}" for k, v in values.items())
 
 
-def filter_paths(paths: list[str], wanted: dict[str, object]) -> list[str]:
-    want = {k: None if v is None else str(v) for k, v in wanted.items()}
-    return [p for p in paths if all(partitions_from_path(p).get(k, "\0") == v for k, v in want.items())]
+def normalized_value(value: str | None) -> str | None:
+    """Without outer blanks and quotes, and without backslashes."""
+    return None if value is None else value.strip().strip("\"'").replace("\\", "")
+
+
+def partition_values(paths: list[str], scheme: str | list[str] = "hive") -> dict[str, set[str | None]]:
+    """The distinct values of each partition column that paths hold."""
+    out: dict[str, set[str | None]] = {}
+    for p in paths:
+        for k, v in partitions_from_path(p, scheme).items():
+            out.setdefault(k, set()).add(v)
+    return out
+
+
+def valid_partitions(values: dict[str, str | None], expected: list[str] | None = None) -> bool:
+    """Whether there are partition columns, each with a name, and just the expected ones."""
+    return bool(values) and all(values) and (expected is None or set(values) == set(expected))
+
+
+def filter_paths(paths: list[str], wanted: dict[str, object], scheme: str | list[str] = "hive") -> list[str]:
+    """Paths whose partition values are the wanted ones; a list: one of them."""
+    want = {k: {None if x is None else str(x) for x in (v if isinstance(v, list | tuple | set) else [v])} for k, v in wanted.items()}
+    return [p for p in paths if all(partitions_from_path(p, scheme).get(k, "\0") in v for k, v in want.items())]
 
 
 def partitioning_scheme(paths: list[str]) -> dict:
@@ -53,9 +75,22 @@ def path_to_glob(path: str, format: str) -> str:
 DERIVED = {"year": lambda c: F.year(c), "month": lambda c: F.month(c), "day": lambda c: F.day(c), "date": lambda c: F.to_date(c)}
 
 
-def derived_key(column: str, kind: str, zone: str | None = None) -> Column:
-    """year, month, day, date or a strftime format of a time, in a zone if given."""
-    ts = F.col(column)
+def time_source(schema: T.StructType, column: str = "auto") -> str:
+    """The column that keys derive from; auto: the only date or time column there is."""
+    times = [f.name for f in schema.fields if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType | T.DateType)]
+    if column != "auto":
+        if column not in times:
+            raise ValueError(f"{column} is no date or time column")
+        return column
+    if len(times) != 1:
+        raise ValueError(f"name one of the date or time columns {times}")
+    return times[0]
+
+
+def derived_key(column: str, kind: str, zone: str | None = None, schema: T.StructType | None = None) -> Column:
+    """year, month, day, date or a strftime format of a time, in a zone if given. With a
+    schema, ``column`` may be auto."""
+    ts = F.col(f"`{time_source(schema, column) if schema else column}`")
     if zone:
         ts = F.from_utc_timestamp(ts, zone)
     return DERIVED[kind](ts) if kind in DERIVED else strftime(ts, kind)

@@ -34,6 +34,18 @@ class _Translator:
         sides = [~F.isnan(F.col(n)) for n in map(self.name_of, (a, b)) if _floating(self.schema, n)]
         return reduce(Column.__and__, sides) if sides else F.lit(True)
 
+    def typed(self, node: Any, other: Any) -> Column:
+        """A literal beside a column of text, or a text beside another column, takes its type."""
+        own, name = self.column(node), self.name_of(other)
+        if node.getClass().getSimpleName() != "Literal" or name is None or node.dataType().typeName() in ("void", "null"):
+            return own
+        goal = self.schema[name].dataType
+        is_text = node.dataType().typeName() == "string"
+        return own.cast(goal) if is_text != isinstance(goal, T.StringType) and not isinstance(goal, T.ArrayType | T.StructType | T.MapType) else own
+
+    def pair(self, a: Any, b: Any) -> tuple[Column, Column]:
+        return self.typed(a, b), self.typed(b, a)
+
     def column(self, node: Any) -> Column:
         kind, seq = node.getClass().getSimpleName(), node.children()
         kids = [seq.apply(i) for i in range(seq.size())]
@@ -45,13 +57,16 @@ class _Translator:
         if kind == "Literal" or kind == "UnaryMinus" and kids[0].getClass().getSimpleName() == "Literal":
             return F.expr(node.sql())
         if kind == "EqualTo":
-            return self.column(kids[0]) == self.column(kids[1])
+            left, right = self.pair(*kids)
+            return left == right
         if kind == "EqualNullSafe":
-            return self.column(kids[0]).eqNullSafe(self.column(kids[1]))
+            left, right = self.pair(*kids)
+            return left.eqNullSafe(right)
         if kind in ORDERED:
-            return getattr(self.column(kids[0]), ORDERED[kind])(self.column(kids[1])) & self.known(*kids)
+            left, right = self.pair(*kids)
+            return getattr(left, ORDERED[kind])(right) & self.known(*kids)
         if kind == "In":
-            return self.column(kids[0]).isin([self.column(k) for k in kids[1:]])
+            return self.column(kids[0]).isin([self.typed(k, kids[0]) for k in kids[1:]])
         if kind in ("IsNull", "IsNotNull"):
             own, name = self.column(kids[0]), self.name_of(kids[0])
             missing = own.isNull() | F.isnan(own) if _floating(self.schema, name) else own.isNull()

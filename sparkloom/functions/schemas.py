@@ -53,6 +53,38 @@ def unify(schemas: list[T.StructType], remove_conflicting: bool = False) -> T.St
     return T.StructType(out)
 
 
+def zones_by_majority(schemas: list[T.StructType]) -> dict[str, T.DataType]:
+    """By time column, whether most schemas have it with a zone (an instant) or without; with
+    one if as many do as do not."""
+    counts: dict[str, int] = {}
+    for schema in schemas:
+        for f in schema.fields:
+            if isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
+                counts[f.name] = counts.get(f.name, 0) + (1 if isinstance(f.dataType, T.TimestampType) else -1)
+    return {name: T.TimestampType() if n >= 0 else T.TimestampNTZType() for name, n in counts.items()}
+
+
+def same_zones(frames: list[DataFrame], zone: str | None = "auto") -> list[DataFrame]:
+    """Frames whose time columns all are instants or all have no zone: auto as most have them,
+    null without one, a name: instants, where times without a zone are local times of it.
+    Instants without a zone show the time of UTC."""
+    wanted = zones_by_majority([df.schema for df in frames])
+
+    def one(df: DataFrame, f: T.StructField):
+        own = F.col(f"`{f.name}`")
+        if f.name not in wanted or not isinstance(f.dataType, T.TimestampType | T.TimestampNTZType):
+            return own
+        goal = wanted[f.name] if zone == "auto" else T.TimestampNTZType() if zone is None else T.TimestampType()
+        if goal == f.dataType:
+            return own
+        if isinstance(goal, T.TimestampNTZType):
+            return F.convert_timezone(None, F.lit("UTC"), own.cast("timestamp_ntz")).alias(f.name)
+        local = F.lit("UTC" if zone == "auto" else zone)
+        return F.convert_timezone(local, F.current_timezone(), own).cast("timestamp").alias(f.name)
+
+    return [df.select(*[one(df, f) for f in df.schema.fields]) for df in frames]
+
+
 def cast_to(df: DataFrame, schema: T.StructType, extra: bool = True, strict: bool = True) -> DataFrame:
     """Columns of the schema (typed nulls where missing), then the others if ``extra``.
     Not strict: values that do not fit become null."""

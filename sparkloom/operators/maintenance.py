@@ -174,10 +174,32 @@ def execute(spark: SparkSession, plan: Plan, fail_at: int | None = None) -> Outc
         frames = [ranged.sortWithinPartitions(*order).drop("__f", "__r")]
     else:
         frames = [_rewritten(df, o["schema"], o["policy"], part)]
-    created = data.swap(old, frames, part, plan.max_rows, expect, plan.snapshot, fail_at)
+    created = data.swap(old, frames, part, plan.max_rows, expect, plan.snapshot, fail_at, _gate(plan, part))
     return Outcome(plan.operation, before, expect, old, created, plan.skipped)
 
 
+def _gate(plan: Plan, part: list[str]) -> Callable[[DataFrame], str | None] | None:
+    """What an operation promises, judged on the staged files before they are published: no
+    key twice, rows in order, rows in the folder of their derived keys."""
+    o = plan.options
+
+    def judge(staged: DataFrame) -> str | None:
+        keys = o.get("keys")
+        if keys:
+            within = part if plan.operation != "repartition" else []
+            if not staged.groupBy(*[F.col(f"`{c}`") for c in dict.fromkeys([*within, *keys])]).count().where("count > 1").isEmpty():
+                return f"rows with equal {keys} are left"
+        if plan.operation == "ordered compaction" and not in_order(staged, o["sort_by"], part):
+            return f"rows are not in order of {o['sort_by']}"
+        for name, value in o.get("derived", {}).items():
+            # derived from the columns in the files, not from the folder itself
+            if name in part and not staged.where(~F.col(f"`{name}`").eqNullSafe(F.nullif(value.cast("string"), F.lit("")))).isEmpty():
+                return f"rows are not in the folder of their {name}"
+        return None
+
+    return judge if o.get("keys") or o.get("derived") or plan.operation == "ordered compaction" else None
+
+
 def _rewritten(df: DataFrame, schema: T.StructType, policy: str, part: list[str]) -> DataFrame:
     own = T.StructType([f for f in df.schema.fields if f.name not in part])
     if sorted(schema.names) != sorted(own.names):

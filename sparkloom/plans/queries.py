@@ -12,10 +12,11 @@ from pyspark.sql import types as T
 
 from sparkloom.functions import frames, partitions
 from sparkloom.functions.predicates import predicate
-from sparkloom.functions.schemas import cast_to, drop_null_columns, infer_dtypes, union_all
+from sparkloom.functions.schemas import cast_to, drop_null_columns, infer_dtypes, same_zones, union_all
 from sparkloom.operators import keys, maintenance, merge
+from sparkloom.sources.files import Dataset
 from sparkloom.sources.read import file_stats, read_dataset, read_files, sql
-from sparkloom.sources.write import write_dataset
+from sparkloom.sources.write import write_dataset, write_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -63,6 +64,10 @@ def _(s, d):
 NAN = "CASE WHEN event_id % 10 = 0 THEN 'NaN'::DOUBLE WHEN event_id % 7 = 0 THEN NULL ELSE value END"
 
 
+filtered("filter_text_as_time", "orders", ["o_orderkey"], "o_orderdate >= '1995-06-01' AND o_orderkey <> '7' AND o_orderkey IN ('1', '2', '3', '4', '5', '6', '7', '32', '33')", "o_orderdate >= TIMESTAMP '1995-06-01' AND o_orderkey <> 7 AND o_orderkey IN (1, 2, 3, 4, 5, 6, 7, 32, 33)")
+filtered("filter_number_as_text", "part", ["p_partkey"], "p_brand <> 11 AND p_size > '10'", "p_brand <> '11' AND p_size > 10")
+
+
 def nan_events(s, d):
     return t(s, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).when(F.col("event_id") % 7 == 0, F.lit(None)).otherwise(F.col("value")).alias("v"))
 
@@ -238,6 +243,104 @@ def _(s, d):
     return union_all(out)
 
 
+@query("split_by_format", "SELECT strftime(o_orderdate, '%Y-%m') AS key, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL")
+def _(s, d):
+    keyed, names = frames.with_split_keys(t(s, d, "orders"), ["o_orderstatus"], "o_orderdate", formats=["%Y-%m"])
+    return keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).toDF("status", "key", "n", "total")
+
+
+@query("split_by_duration", "SELECT year(ts)::INT AS year, epoch(time_bucket(INTERVAL '2 hours', ts))::BIGINT AS start, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    keyed, (year, start) = frames.with_split_keys(t(s, d, "events"), ["year"], "ts", durations=["2h"])
+    return keyed.groupBy(F.col(year).cast("int").alias("year"), F.unix_seconds(F.col(start).cast("timestamp")).alias("start")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("split_by_rows", "SELECT o_orderstatus, (row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1) // 100 AS row_run, o_orderkey FROM orders")
+def _(s, d):
+    keyed, _names = frames.with_split_keys(t(s, d, "orders").select("o_orderstatus", "o_orderkey"), ["o_orderstatus"], rows=100, order_by=["o_orderkey"])
+    return keyed
+
+
+@query("partition_by_parts", "SELECT year(o_orderdate)::INT AS year, count(*) AS n, min(o_orderkey) AS low FROM orders GROUP BY ALL")
+def _(s, d):
+    """Each part is a frame of its own, without the key."""
+    parts = frames.partition_by(t(s, d, "orders"), ["year"], time_column="o_orderdate")
+    return union_all([df.agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("low")).select(F.lit(k["year"]).cast("int").alias("year"), "n", "low") for k, df in parts])
+
+
+@query("time_from_text", "SELECT event_id, epoch_us(ts)::BIGINT - CASE WHEN event_id % 3 = 1 THEN 5400000000 WHEN event_id % 3 = 2 THEN -12600000000 ELSE 0 END AS us, epoch_us(ts)::BIGINT AS own FROM events")
+def _(s, d):
+    """Times written with offsets, as instants, and as the clock shows them."""
+    e = t(s, d, "events").select("event_id", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.when(F.col("event_id") % 3 == 1, "+01:30").when(F.col("event_id") % 3 == 2, "-0330").otherwise("Z")).alias("x"))
+    return e.select("event_id", F.unix_micros(frames.time_from_text(F.col("x"))).alias("us"), F.unix_micros(frames.time_from_text(F.col("x"), naive=True).cast("timestamp")).alias("own"))
+
+
+@query("zones_by_majority", "SELECT event_id, epoch_us(ts)::BIGINT AS us FROM events")
+def _(s, d):
+    """Two frames have instants, one has times without a zone: all become instants."""
+    e = t(s, d, "events").select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+    zoned = F.col("ts").cast("timestamp").alias("ts")
+    three = [e.where("event_id % 3 = 0").select("event_id", zoned), e.where("event_id % 3 = 1").select("event_id", zoned), e.where("event_id % 3 = 2")]
+    return union_all(same_zones(three)).select("event_id", F.unix_micros("ts").alias("us"))
+
+
+@query("derived_keys_in_zone", "SELECT d, count(*) AS n FROM (SELECT strftime(timezone('Asia/Tokyo', timezone('UTC', ts)), '%Y-%m-%d') AS d FROM events) GROUP BY d")
+def _(s, d):
+    """Days of Tokyo, from the only time column, as folders."""
+    path, e = folder(s), t(s, d, "events").select("event_id", "ts")
+    write_dataset(e.withColumn("d", partitions.derived_key("auto", "%Y-%m-%d", "Asia/Tokyo", e.schema)), path, partition_by=["d"])
+    return s.read.parquet(path).groupBy(F.col("d").cast("string").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("partition_values", "SELECT DISTINCT o_orderstatus AS value FROM orders WHERE o_orderstatus <> 'P'")
+def _(s, d):
+    """Values of a partition column as paths have them, one left out by a filter of paths."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", "o_orderstatus"), path, partition_by=["o_orderstatus"])
+    files = Dataset(s, path).files()
+    values = partitions.partition_values(files)["o_orderstatus"] - {"P"}
+    kept = partitions.filter_paths(files, {"o_orderstatus": values})
+    return s.createDataFrame([(v,) for v in sorted(partitions.partition_values(kept)["o_orderstatus"])], "value string")
+
+
+@query("repartition_derived", "SELECT o_orderkey, strftime(o_orderdate, '%Y%m') AS folder FROM orders")
+def _(s, d):
+    """New folders from a time; the gate compares each row with its folder."""
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", "o_orderdate"), path)
+    maintenance.maintain(s, "repartition", path, partition_by=["m"], derived={"m": partitions.derived_key("o_orderdate", "%Y%m")})
+    return s.read.parquet(path).select("o_orderkey", F.regexp_extract("_metadata.file_path", "/m=([^/]*)/", 1).alias("folder"))
+
+
+ORDERS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query("csv_json_orders", f"SELECT {', '.join(ORDERS)}, 'csv' AS kind FROM orders UNION ALL SELECT {', '.join(ORDERS)}, 'json' FROM orders")
+def _(s, d):
+    """Written by the library as CSV and JSON, appended once, and read back."""
+    path, o = folder(s), t(s, d, "orders").select(*ORDERS)
+    out = []
+    for kind in ("csv", "json"):
+        write_files(o.where("o_orderkey % 2 = 0"), f"{path}/{kind}", kind)
+        write_files(o.where("o_orderkey % 2 = 1"), f"{path}/{kind}", kind, mode="append")
+        out.append(read_files(s, f"{path}/{kind}", kind).select(F.col("o_orderkey").cast("long").alias("o_orderkey"), *ORDERS[1:], F.lit(kind).alias("kind")))
+    return union_all(out)
+
+
+@query("read_in_batches", "SELECT o_orderkey, o_orderstatus FROM orders")
+def _(s, d):
+    path = folder(s)
+    write_dataset(t(s, d, "orders").select("o_orderkey", "o_orderstatus").repartition(5, "o_orderkey"), path)
+    return union_all(list(read_files(s, path, batch_size=2)))
+
+
+@query("write_unique", "SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def _(s, d):
+    path = folder(s)
+    write_files(t(s, d, "orders").select("o_custkey", "o_orderstatus"), path, unique=True)
+    return s.read.parquet(path)
+
+
 @query("flatten_struct", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS p_k FROM events")
 def _(s, d):
     return frames.unnest_all(t(s, d, "events").select("event_id", F.from_json("props", "k long").alias("p")))

@@ -8,6 +8,7 @@ checked, and moved in; what they replace waits beside them until that is done.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -109,10 +110,11 @@ class Dataset:
     def append(self, df: DataFrame, partition_by: list[str] | None = None, max_rows: int = 5_000_000) -> list[str]:
         return self.swap([], [df], partition_by or [], max_rows)
 
-    def swap(self, old: list[str], frames: list[DataFrame], partition_by: list[str], max_rows: int = 5_000_000, expect: int | None = None, snapshot: list[FileInfo] | None = None, fail_at: int | None = None) -> list[str]:
+    def swap(self, old: list[str], frames: list[DataFrame], partition_by: list[str], max_rows: int = 5_000_000, expect: int | None = None, snapshot: list[FileInfo] | None = None, fail_at: int | None = None, gate: Callable[[DataFrame], str | None] | None = None) -> list[str]:
         """Replaces files by what the frames hold; returns the new ones. ``expect``: rows that
         must have been staged; ``snapshot``: files that must be as they were. On any error
-        the dataset is as before. ``fail_at``: for tests, the move that fails."""
+        the dataset is as before. ``gate``: says what is wrong with staged rows, if anything;
+        ``fail_at``: for tests, the move that fails."""
         stage = f"_staging_{uuid.uuid4().hex}"
         staged_root, moved, kept_aside = self._path(self.root.toString(), stage), [], []
         try:
@@ -126,6 +128,11 @@ class Dataset:
                 have_types = {f.name: f.dataType for f in self.spark.read.parquet(o).schema.fields if f.name not in partition_by}
                 if self._listed(o) and goal != have_types:
                     raise ValueError(f"staged columns {sorted(have_types)} are not {sorted(goal)}")
+                if gate and self._listed(o):
+                    fields = [f for f in df.schema.fields if f.name not in partition_by]
+                    fields += [T.StructField(p, T.StringType()) for p in partition_by]
+                    if wrong := gate(self.spark.read.schema(T.StructType(fields)).parquet(o)):
+                        raise ValueError(wrong)
             if snapshot is not None:
                 now = {f.path: (f.size, f.modified) for f in self.infos()}
                 if any(now.get(f.path) != (f.size, f.modified) for f in snapshot):

@@ -167,3 +167,20 @@ def test_empty_folders_go_and_order_holds_across_files(spark, tmp_path):
     assert len(Dataset(spark, flat).files()) > 1
     assert maintenance.in_order(spark.read.parquet(flat), ["a", "-b"])
     assert not maintenance.in_order(spark.read.parquet(flat), ["-a"])
+
+
+def test_gates_refuse_what_breaks_the_promise(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "d")
+    spark.createDataFrame([(i % 3, -i) for i in range(9)], "k int, v int").repartition(2).write.parquet(path)
+    before = sorted(spark.read.parquet(path).collect())
+    files = maintenance.Dataset(spark, path).files()
+    monkeypatch.setattr(maintenance, "first_of_keys", lambda df, *_: df)
+    with pytest.raises(ValueError, match="equal"):
+        maintenance.maintain(spark, "deduplicate", path, keys=["k"])
+    gate = maintenance._gate(maintenance.plan_repartition(spark, path, ["p"], {"p": F.col("k") + 1}), ["p"])
+    assert gate(spark.createDataFrame([(1, "2"), (None, None)], "k int, p string")) is None
+    assert "folder" in gate(spark.createDataFrame([(1, "1")], "k int, p string"))
+    monkeypatch.setattr(maintenance, "in_order", lambda *_: False)
+    with pytest.raises(ValueError, match="order"):
+        maintenance.maintain(spark, "order", path, sort_by=["v"])
+    assert sorted(spark.read.parquet(path).collect()) == before and maintenance.Dataset(spark, path).files() == files

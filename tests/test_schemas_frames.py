@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import frames, partitions
-from sparkloom.functions.schemas import cast_to, common_type, drop_null_columns, infer_dtypes, lossless, lost_values, unify, union_all
+from sparkloom.functions.schemas import cast_to, common_type, drop_null_columns, infer_dtypes, lossless, lost_values, unify, union_all, zones_by_majority
 
 
 @pytest.mark.parametrize("types, want", [(["int", "bigint"], "bigint"), (["int", "string"], "string"), (["float", "int"], "float"), (["float", "bigint"], "double"), (["date", "timestamp_ntz"], "timestamp_ntz"), (["decimal(5,2)", "decimal(8,1)"], "decimal(9,2)"), (["array<int>", "array<bigint>"], "array<bigint>")])
@@ -62,3 +62,50 @@ def test_partition_paths():
     p = partitions.partition_path({"a": None, "b": "x/y z"})
     assert partitions.partitions_from_path(p + "/f.parquet") == {"a": None, "b": "x/y z"}
     assert partitions.filter_paths(["p=1/f", "p=10/f"], {"p": 1}) == ["p=1/f"]
+
+
+@pytest.mark.parametrize("text, to, want", [("1h", "short", "1h"), ("2 hours", "short", "2h"), ("3mo", "long", "3 month"), ("5 unknowns", "long", "5 unknown"), ("1invalid", "short", "1 invalid")])
+def test_duration_text(text, to, want):
+    assert frames.duration_text(text, to) == want
+
+
+def test_time_from_text(spark):
+    df = spark.createDataFrame([("2024-01-02T03:04:05+02:00",), ("2024-01-02 03:04:05",), ("2024-01-02",), ("x",), ("",), (None,)], "t string")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    rows = df.select(text(frames.time_from_text(F.col("t"))), text(frames.time_from_text(F.col("t"), "Asia/Tokyo")), text(frames.time_from_text(F.col("t"), "Asia/Tokyo", naive=True)), text(frames.time_from_text(F.col("t"), naive=True))).collect()
+    assert rows[0] == ("2024-01-02 01:04:05", "2024-01-02 01:04:05", "2024-01-02 10:04:05", "2024-01-02 03:04:05")
+    assert rows[1] == ("2024-01-02 03:04:05", "2024-01-01 18:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04:05")
+    assert rows[2] == ("2024-01-02 00:00:00", "2024-01-01 15:00:00", "2024-01-02 00:00:00", "2024-01-02 00:00:00")
+    assert all(set(r) == {None} for r in rows[3:])
+
+
+def test_zones_and_sources(spark):
+    zoned, plain = T.StructType.fromDDL("t timestamp, a int"), T.StructType.fromDDL("t timestamp_ntz")
+    assert zones_by_majority([zoned, plain]) == {"t": T.TimestampType()}
+    assert zones_by_majority([zoned, plain, plain]) == {"t": T.TimestampNTZType()}
+    assert partitions.time_source(zoned) == "t"
+    with pytest.raises(ValueError):
+        partitions.time_source(T.StructType.fromDDL("a int"))
+    with pytest.raises(ValueError):
+        partitions.time_source(zoned, "a")
+
+
+def test_partition_values():
+    paths = ["/d/a=1/b=x%20y/f.parquet", "/d/a=2/b=__HIVE_DEFAULT_PARTITION__/f.parquet"]
+    assert partitions.partition_values(paths) == {"a": {"1", "2"}, "b": {"x y", None}}
+    assert partitions.partition_values(["/d/2024/01/f"], ["y", "m"]) == {"y": {"2024"}, "m": {"01"}}
+    assert partitions.filter_paths(paths, {"a": [1, 3]}) == paths[:1] and partitions.filter_paths(paths, {"b": None}) == paths[1:]
+    assert partitions.normalized_value(" 'a\\b' ") == "ab" and partitions.normalized_value(None) is None
+    assert partitions.valid_partitions({"a": "1"}, ["a"]) and not partitions.valid_partitions({"a": "1"}, ["b"]) and not partitions.valid_partitions({})
+    assert partitions.partition_path({"a": "", "b": None, "c": "x/y"}) == "a=__HIVE_DEFAULT_PARTITION__/b=__HIVE_DEFAULT_PARTITION__/c=x%2Fy"
+
+
+def test_partition_by(spark):
+    df = spark.createDataFrame([(i, dt.datetime(2023 + i % 2, 1, 1 + i)) for i in range(5)], "id int, t timestamp_ntz")
+    got = {k["year"]: sorted(r.id for r in f.collect()) for k, f in frames.partition_by(df, ["year"])}
+    assert got == {2023: [0, 2, 4], 2024: [1, 3]}
+    runs = [(k["row_run"], f.columns, f.count()) for k, f in frames.partition_by(df, rows=2, order_by=["id"])]
+    assert runs == [(0, ["id", "t"], 2), (1, ["id", "t"], 2), (2, ["id", "t"], 1)]
+    for wrong in ({"columns": ["nothing"]}, {"rows": 2}):
+        with pytest.raises(ValueError):
+            frames.partition_by(df, **wrong)
