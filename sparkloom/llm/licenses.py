@@ -3,11 +3,14 @@
 All templates go into one automaton. Each text is streamed through it for matching
 statistics (at every word, the longest suffix that occurs in some template); long
 matches are chained, in template order and over small gaps, into covered template spans.
+Templates are whole licences and notices, and apart from them short statements and
+opening clauses, as texts often hold no more.
 Words outside the templates' vocabulary, and word pairs that no template has, end any
 match of two words or more, so numpy finds the stretches between them first and the
 automaton walks those only. Documents are independent: no shuffle, bounded memory.
 
-Defined results. Null, empty or wordless text: no words, no spans, score 0. Repeated
+Defined results. Templates with fewer words than a match, and phrases without words, are
+errors; without any of them texts have words only. Null, empty or wordless text: no words, no spans, score 0. Repeated
 rows: a result each. A null id stays null. Other columns are ignored.
 """
 
@@ -26,7 +29,7 @@ from sparkloom.llm.shared import table
 
 #: Phrases to be found wherever their words stand consecutively, and labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Notices in the wording that licence texts recommend, and labels.
+#: Short statements and opening clauses, and labels.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0",
     "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
@@ -40,6 +43,62 @@ TEMPLATES = {
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: Whole licences and notices in their public wording, without title and
+#: copyright line, and labels.
+LICENCES = {
+    "apache-2.0-text": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with
+the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to
+in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
+express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-2-clause-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the
+following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the
+following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND
+CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF
+USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT
+(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "boost-1.0-text": """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software,
+and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the
+following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the
+following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless
+such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.""",
+    "gpl-text": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as
+published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed
+in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR
+PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this
+program. If not, see https://www.gnu.org/licenses/.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
+provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR
+DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF
+THIS SOFTWARE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject
+to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of
+the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE
+SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "mpl-2.0-text": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
+    "unlicense-text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,
+compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial,
+and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs
+and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software
+under copyright law.""",
+    "zlib-text": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for
+any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be
+misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be
+misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.""",
+}
 SPANS = "array<struct<label:string,start:int,end:int,matched:int,coverage:double>>"
 OUT = f"n_words long, phrases array<struct<label:string,start:int>>, spans {SPANS}"
 
@@ -131,13 +190,20 @@ class Scanner:
         self.hashes, ids = hashes[order], {vocabulary[k]: i for i, k in enumerate(order.tolist())}
         coded, phrases_coded = [[ids[w] for w in t] for t in texts], [[ids[w] for w in t] for t in phrase_texts]
         self.lengths = [len(t) for t in coded]
+        if short := [k for k, n in zip(self.labels, self.lengths) if n < max(1, min_match)]:
+            raise ValueError(f"templates of fewer than {min_match} words can't be matched: {short}")
+        if empty := [p for p, t in zip(phrases, phrases_coded) if not t]:
+            raise ValueError(f"phrases without words: {empty}")
         self.automaton = Automaton(coded, phrases_coded)
         self.n = len(vocabulary)
-        self.pairs = np.unique([a * self.n + b for t in coded + phrases_coded for a, b in zip(t, t[1:])])
+        self.pairs = np.unique([a * self.n + b for t in coded + phrases_coded for a, b in zip(t, t[1:])]).astype(np.int64)
+        self.single = np.unique([t[0] for t in phrases_coded if len(t) == 1]).astype(np.int64)
         self.min_match, self.max_gap, self.min_coverage = min_match, max_gap, min_coverage
 
     def scan(self, column: pa.Array) -> tuple[np.ndarray, list, list]:
         words = find_words(*text_buffer(column), ALNUM, lower=True)
+        if not self.n:
+            return words.counts(), [[] for _ in range(len(column))], [[] for _ in range(len(column))]
         h = words.hashes()
         at = np.minimum(np.searchsorted(self.hashes, h), self.n - 1)
         code = np.where(self.hashes[at] == h, at, -1)
@@ -145,14 +211,18 @@ class Scanner:
         known[words.first[1:-1][(words.first[1:-1] > 0) & (words.first[1:-1] < len(h))] - 1] = False  # pairs over a border
         pair = np.flatnonzero(known)
         key = code[pair] * self.n + code[pair + 1]
-        where = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        pair = pair[self.pairs[where] == key] if len(pair) else pair
+        pair = pair[np.isin(key, self.pairs)]
         rows = len(words.first) - 1
         phrases: list[list] = [[] for _ in range(rows)]
         matches: dict[int, list] = {}
-        if len(pair):
-            cut = np.flatnonzero(np.diff(pair) > 1) + 1
-            starts, ends = pair[np.r_[0, cut]], pair[np.r_[cut - 1, len(pair) - 1]] + 2
+        inside = np.zeros(len(h), bool)
+        inside[pair] = inside[pair + 1] = True
+        alone = np.flatnonzero(np.isin(code, self.single) & ~inside) if len(self.single) else np.zeros(0, np.int64)
+        if len(pair) or len(alone):
+            new = np.diff(pair, prepend=-2) > 1
+            starts, ends = np.r_[pair[new], alone], np.r_[pair[np.r_[new[1:], True][: len(pair)]] + 2, alone + 1]
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], ends[order]
             docs = np.searchsorted(words.first, starts, "right") - 1
             for d, a, b in zip(docs.tolist(), starts.tolist(), ends.tolist()):
                 base = a - int(words.first[d])
@@ -198,7 +268,7 @@ class Scanner:
         return sorted(spans, key=lambda x: (x["start"], x["label"]))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, min_match: int = 3, max_gap: int = 4, min_coverage: float = 0.75) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES | LICENCES, phrases: dict[str, str] = PHRASES, min_match: int = 3, max_gap: int = 4, min_coverage: float = 0.75) -> DataFrame:
     """(doc_id, n_words, phrases, spans) for every row; positions count words from 0. The
     templates travel with the task: they are a parameter, not data."""
 

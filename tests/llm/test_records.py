@@ -168,6 +168,31 @@ def test_license_templates(spark):
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_whole_licences(spark):
+    rng = random.Random(2)
+    noise = lambda n: " ".join(f"n{rng.randrange(999)}" for _ in range(n))
+    texts = [(label, f"{noise(30)} {text.replace(' ', '  # ')} {noise(30)}") for label, text in licenses.LICENCES.items()]
+    texts += [("none", " ".join(text.split()[: len(text.split()) // 4])) for text in licenses.LICENCES.values()]
+    got = licenses.scan_licenses(spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    for r in got:
+        whole = {s.label: s.coverage for s in r.spans if s.label in licenses.LICENCES}
+        assert not whole if r.doc_id == "none" else whole[r.doc_id] == 1.0
+
+
+@pytest.mark.parametrize("templates, phrases, want", [({}, {}, []), ({}, {"free": "f"}, [0, 4, 5, 7]), ({"t": "free as in speech"}, {"in free": "g", "free": "f"}, [0, 3, 4, 5, 7])])
+def test_licences_of_one_word_or_none(spark, templates, phrases, want):
+    df = spark.createDataFrame([(1, "Free x as in free. FREE y free"), (2, "free"), (3, None), (4, "y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(df, templates=templates, phrases=phrases).collect()}
+    assert sorted(p.start for p in got[1].phrases) == want and [got[i].n_words for i in (1, 2, 3, 4)] == [8, 1, 0, 1]
+    assert len(got[2].phrases) == ("free" in phrases) and not got[4].phrases
+
+
+@pytest.mark.parametrize("templates, phrases", [({"t": "two words"}, {}), ({}, {" - ": "p"})])
+def test_licences_that_cannot_be_found(templates, phrases):
+    with pytest.raises(ValueError):
+        licenses.Scanner(templates, phrases, 3, 4, 0.75)
+
+
 def test_matching_statistics():
     rng = random.Random(4)
     templates = [[rng.randrange(3) for _ in range(rng.randrange(1, 14))] for _ in range(6)]
